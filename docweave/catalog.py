@@ -1,0 +1,9 @@
+"""Queries over the test tables, by name, and the SQL that must give the same rows."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
