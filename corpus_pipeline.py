@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import bpe, decontaminate, langid, linededup, neardup
-from docweave.llm.common import durable, table
+from docweave.llm.common import durable, small_side, table
 from docweave.llm.paths import word_bpe
 
 
@@ -33,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id."""
     gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dw_id")).distinct()
+    gone = small_side(durable(gone), 50)
     return docs.join(gone, docs["doc_id"] == gone["dw_id"], "left_anti")
 
 
@@ -40,6 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that the contamination rule hits go."""
     hits = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     gone = hits.where("contaminated").select(F.col("doc_id").alias("dw_id")).distinct()
+    gone = small_side(durable(gone), 50)
     return docs.join(gone, docs["doc_id"] == gone["dw_id"], "left_anti")
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import text_rows
+from docweave.llm.common import lean, text_rows
 
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
-#: Entries held by each of a worker's caches before it is emptied, which bounds its memory.
-CACHE = 400_000
+#: Entries of each of a worker's caches before it is emptied (or becomes the older one), which bounds its memory.
+CACHE = 250_000
 
 
 class ForcedBoundaryBPE:
@@ -49,12 +50,27 @@ class ForcedBoundaryBPE:
         self.added_re = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         library = Tokenizer.from_file(path)
         self.normalize, self.pretokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.fragments: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, symbols: list[str]) -> list[int]:
         """Ids of a symbol sequence: the pair of least rank first, from the left."""
+        rank, vocab = self.merges.get, self.vocab
+        if len(symbols) > 40:
+            return self._merge_long(symbols)
+        ranks = [rank(p, _NEVER) for p in zip(symbols, symbols[1:])]
+        while ranks and (low := min(ranks)) < _NEVER:
+            i = ranks.index(low)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), _NEVER)
+        return [vocab[s] for s in symbols]
+
+    def _merge_long(self, symbols: list[str]) -> list[int]:
         n, rank = len(symbols), self.merges
         left, right, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
@@ -74,42 +90,59 @@ class ForcedBoundaryBPE:
 
     def cuts(self, word: str) -> list[str]:
         """The fragments of a word between forced boundaries."""
-        at = [0, *(i + 1 for i, pair in enumerate(_pairs(word)) if pair not in self.joinable), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:])]
+        joinable = self.joinable
+        inner = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joinable]
+        if not inner:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *inner], [*inner, len(word)])]
 
     def word(self, word: str) -> list[int]:
-        if (got := self.words.get(word)) is None:
-            parts, got = self.cuts(word), []
-            for k, part in enumerate(parts):
-                key = (part, k == len(parts) - 1)
-                if (ids := self.fragments.get(key)) is None:
-                    symbols = list(part)
-                    if key[1]:
-                        symbols[-1] += self.suffix
-                    ids = self.merge(symbols)
-                    if len(self.fragments) >= CACHE:
-                        self.fragments.clear()
+        """Ids of a pre-token whose bytes are written as the vocabulary writes them."""
+        parts, got = self.cuts(word), []
+        for k, part in enumerate(parts):
+            last = k == len(parts) - 1
+            key = part + self.suffix if last else part
+            if (ids := self.fragments.get(key)) is None:
+                symbols = list(part)
+                if last:
+                    symbols[-1] += self.suffix
+                ids = self.merge(symbols)
+                if len(self.fragments) >= CACHE:
+                    self.fragments.clear()
+                if len(part) <= 100:
                     self.fragments[key] = ids
-                got += ids
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = got
+            got += ids
+        if len(parts) > 1 and len(word) <= 100:
+            self.fragments[word + self.suffix] = got
         return got
 
     def decode(self, ids: list[int]) -> str:
         """As the library does for a file without a decoder: the tokens joined by spaces."""
         return " ".join([self.tokens[i] for i in ids])
 
+    def pieces(self, chunk: str) -> list[str]:
+        """Pre-tokens of a run without white space. Latin-1 text without control characters, where nothing
+        composes and each letter has one lower case, needs no call of the library."""
+        if _PLAIN.fullmatch(chunk):
+            return _PIECE.findall(chunk.lower()) if chunk.isascii() else [w.translate(_BYTES) for w in _PIECE.findall(chunk.lower())]
+        return [w for w, _ in self.pretokenize(self.normalize(chunk))]
+
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids (int32 bytes) and decoded text of a run without white space."""
-        ids = [i for w, _ in self.pretokenize(self.normalize(chunk)) for i in self.word(w)]
-        got = (np.array(ids, np.int32).tobytes(), self.decode(ids))
+        if (got := self.older.get(chunk)) is None:
+            ids, known = [], self.fragments.get
+            for w in self.pieces(chunk):
+                ids += known(w + self.suffix) or self.word(w)
+            got = (array("i", ids).tobytes(), self.decode(ids))
         if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        if len(chunk) <= 200:
+            self.chunks, self.older = {}, self.chunks
+        if len(chunk) <= 100:
             self.chunks[chunk] = got
         return got
 
+    def forget(self) -> None:
+        self.fragments, self.chunks, self.older = {}, {}, {}
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as int32 bytes, and the decoded text."""
         out: list[tuple[bytes, str]] = []
@@ -133,7 +166,21 @@ class ForcedBoundaryBPE:
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_NEVER = 1 << 30
+_PLAIN = re.compile("[!-~\\xa1-\\xff]+")
+#: The file's pre-tokenizer pattern, for lower-cased Latin-1: contractions, letters, one number, anything else.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\xff]+|[0-9\\xb2\\xb3\\xb9\\xbc-\\xbe]|[^a-z0-9\\xaa\\xb2\\xb3\\xb5\\xb9\\xba\\xbc-\\xbe\\xdf-\\xf6\\xf8-\\xff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes printable Latin-1 bytes as themselves and the others as the letters from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_BYTES = _byte_letters()
 
 
 def _pairs(s: str) -> Iterator[str]:
@@ -153,14 +200,17 @@ def load(path: str) -> ForcedBoundaryBPE:
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded text of every row; no shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                got = [bpe.encode(t) if t else (b"", "") for t in part.column(1).to_pylist()]
+        try:
+            for batch in batches:
+                got = [bpe.encode(t) if t else (b"", "") for t in batch.column(1).to_pylist()]
                 ends = np.cumsum([0, *(len(x[0]) // 4 for x in got)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[0] for x in got]), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, pa.array([x[1] for x in got], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array([x[1] for x in got], pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, ENCODED)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import text_rows
+from docweave.llm.common import lean, text_rows
 
 WINDOW = 13
 BROADCAST_CHARS = 32_000_000
@@ -77,6 +77,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return _joined(text_rows(docs, id_col, text_col), items, window)
     index = docs.sparkSession.sparkContext.broadcast(WindowIndex([tuple(r) for r in items.collect()], window))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import text_rows
+from docweave.llm.common import lean, small_batches, text_rows
 
 BUCKETS = 1 << 15
 ROUNDS = 12
@@ -38,6 +38,7 @@ def grams(text: bytes) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (BUCKETS x languages), from all rows of `labelled`."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -50,6 +51,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     got = rows.where("lang is not null and text is not null").mapInArrow(count, "lang string, bucket int, n bigint")
     got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -113,6 +115,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     if keep:
         place = docs.columns.index(text_col)
 
+        @lean
         def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 preds, scores, _ = predict(batch.column(place).cast(pa.string()))
@@ -121,6 +124,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         schema = docs.limit(0).withColumns({"dw_lang": F.lit("").cast("string"), "dw_score": F.lit(0.0)}).schema
         return docs.mapInArrow(run_all, schema)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import durable
+from docweave.llm.common import durable, lean, small_batches, small_side
 
 MIN_WORDS = 50
 
@@ -33,6 +33,7 @@ MIN_WORDS = 50
 def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each document: line ids (128 bits each) and words of each line."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, counts = [], []
@@ -67,6 +68,7 @@ def shortest_runs(line: np.ndarray, words: np.ndarray, min_words: int) -> tuple[
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, uid (hash of the text), at (line from 0) and n (lines) of each later copy of a run."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     seq = _sequences(docs, id_col, text_col).dropDuplicates(["id", "uid"]).repartitionByRange(parts, "id", "uid").sortWithinPartitions("id", "uid")
     # positions rise with id and line, since the partitions are ranges
@@ -77,6 +79,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = lines.groupBy("key").agg(F.min("pos").alias("rank"), F.count("*").alias("c")).where("c > 1").drop("c")
     active = durable(lines.join(classes, "key").drop("key"))
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         names = ["id", "uid", "pos", "line", "n"]
@@ -140,9 +143,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = repeated_runs(docs, id_col, text_col, min_words)
     lost = runs.select("id", "uid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line"))
     lost = lost.groupBy("id", "uid").agg(F.collect_set("line").alias("dw_lost")).select(F.col("id").alias("dw_id"), F.col("uid").alias("dw_uid"), "dw_lost")
-    # at most as long as a document has lines; no document's text is shuffled to find them
+    # lines of a document at most; while that is a small table, no text is shuffled
+    lost = small_side(durable(lost), 200)
     joined = docs.join(lost, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("dw_id")) & (F.xxhash64(text_col) == F.col("dw_uid")), "left")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, lost_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index("dw_lost")

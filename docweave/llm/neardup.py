@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import durable, text_rows
+from docweave.llm.common import durable, lean, small_side, text_rows
 
 SHINGLE, HALVES, HALF_ROWS = 5, 14, 2
 THRESHOLD_PERCENT = 75
 #: Of 56 minhashes, pairs with fewer in common are not read in full: at similarity 0.75 that hits one pair in 500,000.
 AGREE = 27
-_WORDS = 500_000
+_WORDS = 200_000
 _M = 2 * HALVES * HALF_ROWS
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, _M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,6 +77,7 @@ def minhashes(s: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets; null if empty) and the minhashes of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
         for batch in batches:
@@ -96,7 +97,6 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _entries(reps: DataFrame) -> DataFrame:
     """key and rep: table entries (pairs of half keys) that may hold two sets or more."""
     halves = F.array(*[F.xxhash64(*[F.col("sig")[i * HALF_ROWS + j] for j in range(HALF_ROWS)], F.lit(i)) for i in range(2 * HALVES)])
-    half = reps.select("rep", F.explode(halves).alias("half"), ).withColumn("half", F.col("half"))
     half = reps.select("rep", F.posexplode(halves).alias("i", "half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     live = half.join(shared, "half").groupBy("rep").agg(F.collect_list(F.when(F.col("i") < HALVES, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("i") >= HALVES, F.col("half"))).alias("b"))
@@ -109,6 +109,7 @@ def _entries(reps: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rep and its shingle set as bytes, for the documents in `wanted` (rep, set_key)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
         for batch in batches:
@@ -119,13 +120,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                     keep.append((i, s.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in keep], pa.int64())), pa.array([x for _, x in keep], pa.binary())], ["rep", "items"])
 
-    rows = text_rows(docs, id_col, text_col).join(wanted.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
+    rows = text_rows(docs, id_col, text_col).join(small_side(wanted.select(F.col("rep").alias("doc_id"), "set_key"), 100), "doc_id")
     return rows.mapInArrow(run, "rep bigint, items binary").dropDuplicates(["rep"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are alike."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -143,6 +145,32 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rare_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among `members` (rep, items, comp) that may be alike: two sets with
+    similarity 0.75 share one of the rarest quarter of either's shingles, in any one order of shingles. A
+    passage that many texts share is thus no ground to compare them."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                items = np.frombuffer(batch.column(1)[row].as_py(), np.int64)
+                same = [pa.array(np.full(len(items), batch.column(i)[row].as_py(), np.int64)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([same[0], same[1], pa.array(items), pa.array(np.full(len(items), len(items), np.int32))], ["rep", "comp", "s", "n"])
+
+    rows = durable(members.select("rep", "items", "comp").mapInArrow(run, "rep bigint, comp bigint, s bigint, n int"))
+    often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = rows.join(often, "s").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("own"))
+    least = F.ceil(F.col("n") * THRESHOLD_PERCENT / 100)  # shingles that a set must share with a partner
+    rare = shared.withColumn("take", (F.size("own") - least + 1).cast("int")).where("take > 0")
+    # what can still be shared from a shingle on, it included
+    rare = rare.select("rep", "comp", "n", F.size("own").alias("m"), F.posexplode(F.slice("own", 1, F.col("take"))).alias("at", "x"))
+    rare = durable(rare.select("rep", "comp", "n", "x.s", (F.col("m") - F.col("at")).alias("rest")))
+    other = rare.select(F.col("rep").alias("b"), F.col("comp").alias("c"), "s", F.col("n").alias("k"), F.col("rest").alias("left"))
+    least = (100 + THRESHOLD_PERCENT) * F.least("rest", "left") >= THRESHOLD_PERCENT * (F.col("n") + F.col("k"))
+    return rare.join(other, (rare["s"] == other["s"]) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("c")) & least).select(F.col("rep").alias("a"), "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the least node reachable) for the nodes of `edges` (a, b): large and small stars by turns."""
     e = durable(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -192,13 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             leader = own.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep")).alias("l")).select("key", F.col("l.rep").alias("b"), F.col("l.comp").alias("c"))
             pairs = own.join(leader, "key").where("rep != b and comp != c").select(F.col("rep").alias("a"), "b").distinct()
         else:
-            other = own.select("key", F.col("rep").alias("b"), F.col("comp").alias("c"))
-            pairs = own.join(other, (own["key"] == other["key"]) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("c"))).select(F.col("rep").alias("a"), "b").distinct()
+            pairs = _rare_pairs(sets.join(own.select("rep", "comp").distinct(), "rep"))
         pairs = durable(likely(pairs))
         if pairs.isEmpty():
+            if turn:
+                continue
             break
         if sets is None:
-            members = entries.select("rep").distinct().join(classes.select("rep", "set_key"), "rep")
+            members = durable(entries.select("rep").distinct().join(classes.select("rep", "set_key"), "rep"))
             sets = durable(_sets(docs, members, id_col, text_col))
         new = durable(_links(pairs, sets))
         links = new if links is None else links.unionByName(new)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, decontaminate, langid, linededup, neardup
+from docweave.llm import bpe, decontaminate, htmltext, langid, linededup, neardup, pii, secrets, urlfilter, winnow
 from docweave.llm.common import table
 from docweave.llm.paths import word_bpe
 
@@ -22,6 +22,31 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("dw_lines_deleted").alias("n_lines_deleted"), F.length("text").cast("long").alias("n_chars_left"), F.col("text").alias("text_left"))
 
 
+#: The contract's rules: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract_text(pages, htmltext.fit(pages))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
@@ -44,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op8_language_id, op9_decontaminate, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_url_filter, op4_html_text, op5_pii, op6_secrets, op7_winnow, op8_language_id, op9_decontaminate, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
