@@ -14,7 +14,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from docweave.llm.common import lean, text_rows
 
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
 #: Entries of each of a worker's caches before it is emptied (or becomes the older one), which bounds its memory.
-CACHE = 250_000
+CACHE = 300_000
 
 
 class ForcedBoundaryBPE:
@@ -47,12 +47,13 @@ class ForcedBoundaryBPE:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.tokens |= {i: t for t, i in added.items()}
+        self.tokens = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         self.added_re = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         library = Tokenizer.from_file(path)
         self.normalize, self.pretokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.fragments: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, symbols: list[str]) -> list[int]:
         """Ids of a symbol sequence: the pair of least rank first, from the left."""
@@ -116,9 +117,10 @@ class ForcedBoundaryBPE:
             self.fragments[word + self.suffix] = got
         return got
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """As the library does for a file without a decoder: the tokens joined by spaces."""
-        return " ".join([self.tokens[i] for i in ids])
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids])
 
     def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a run without white space. Latin-1 text without control characters, where nothing
@@ -127,13 +129,13 @@ class ForcedBoundaryBPE:
             return _PIECE.findall(chunk.lower()) if chunk.isascii() else [w.translate(_BYTES) for w in _PIECE.findall(chunk.lower())]
         return [w for w, _ in self.pretokenize(self.normalize(chunk))]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (int32 bytes) and decoded text of a run without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids (int32 bytes) of a run without white space."""
         if (got := self.older.get(chunk)) is None:
             ids, known = [], self.fragments.get
             for w in self.pieces(chunk):
                 ids += known(w + self.suffix) or self.word(w)
-            got = (array("i", ids).tobytes(), self.decode(ids))
+            got = array("i", ids).tobytes()
         if len(self.chunks) >= CACHE:
             self.chunks, self.older = {}, self.chunks
         if len(chunk) <= 100:
@@ -143,22 +145,21 @@ class ForcedBoundaryBPE:
     def forget(self) -> None:
         self.fragments, self.chunks, self.older = {}, {}, {}
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as int32 bytes, and the decoded text."""
-        out: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> array:
+        """Ids of a text."""
+        out: list[bytes] = []
         if self.added_re is not None and self.added_re.search(text):
             at = 0
             for m in self.added_re.finditer(text):
                 out += self._plain(text[at : m.start()])
-                i = self.added[m[0]]
-                out.append((np.array([i], np.int32).tobytes(), self.decode([i])))
+                out.append(array("i", [self.added[m[0]]]).tobytes())
                 at = m.end()
             out += self._plain(text[at:])
         else:
             out = self._plain(text)
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+        return array("i", b"".join(out))
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         # str.split() also parts at \x1c-\x1f, which the normalizer doesn't take for white space
         parts = [x for x in _SPACE.split(text) if x] if _CONTROL.search(text) else text.split()
         get, make = self.chunks.get, self.chunk
@@ -205,10 +206,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         bpe = load(tokenizer_path)
         try:
             for batch in batches:
-                got = [bpe.encode(t) if t else (b"", "") for t in batch.column(1).to_pylist()]
-                ends = np.cumsum([0, *(len(x[0]) // 4 for x in got)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[0] for x in got]), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array([x[1] for x in got], pa.string())], ["doc_id", "ids", "decoded"])
+                got = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array([bpe.decode(x) for x in got], pa.string())], ["doc_id", "ids", "decoded"])
         finally:
             bpe.forget()
 
