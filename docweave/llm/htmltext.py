@@ -222,14 +222,17 @@ class Boosted:
         return (feat, cut, value), value[where]
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        b, score, rows = self.bins(x), np.full(len(x), self.base), np.arange(len(x))
-        for feat, cut, value in self.trees:
-            at = np.zeros(len(x), int)
+        """Of each row; all trees go down together."""
+        feat, cut, value = (np.stack(t) for t in zip(*self.trees))
+        out, tree = np.empty(len(x)), np.arange(len(feat))
+        for start in range(0, len(x), 2048):
+            b = self.bins(x[start : start + 2048])
+            rows, at = np.arange(len(b))[:, None], np.zeros((len(b), len(feat)), int)
             for _ in range(DEPTH):
-                f = feat[at]
-                at = np.where(f < 0, at, 2 * at + 1 + (b[rows, np.maximum(f, 0)] > cut[at]))
-            score += value[at]
-        return score
+                f = feat[tree, at]
+                at = np.where(f < 0, at, 2 * at + 1 + (b[rows, f] > cut[tree, at]))
+            out[start : start + 2048] = self.base + value[tree, at].sum(1)
+        return out
 
 
 def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
@@ -250,15 +253,28 @@ def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
     return state > 0
 
 
+def extract_all(pages: list[str | None], model: Boosted) -> list[str]:
+    """Article texts of some pages."""
+    read, rows = [], []
+    for page in pages:
+        nodes, texts = parse(page or "")
+        found = blocks(nodes, texts)
+        read.append((nodes, found))
+        if found:
+            rows.append(features(nodes, found, texts))
+    score, at, out = model.log_odds(np.concatenate(rows)) if rows else np.zeros(0), 0, []
+    for nodes, found in read:
+        if not found:
+            out.append("")
+            continue
+        keep = decode(nodes, score[at : at + len(nodes)])
+        at += len(nodes)
+        out.append("\n".join([t for n, t in found if keep[n]]))
+    return out
+
+
 def extract(page: str | None, model: Boosted) -> str:
-    if not page:
-        return ""
-    nodes, texts = parse(page)
-    found = blocks(nodes, texts)
-    if not found:
-        return ""
-    keep = decode(nodes, model.log_odds(features(nodes, found, texts)))
-    return "\n".join(t for n, t in found if keep[n])
+    return extract_all([page], model)[0]
 
 
 _WRAPS = [
@@ -360,7 +376,9 @@ def extract_text(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [extract(p, held.value) for p in batch.column(2).to_pylist()]
+            text = []
+            for start in range(0, batch.num_rows, 50):
+                text += extract_all(batch.column(2).slice(start, 50).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
