@@ -10,6 +10,7 @@ merged with a heap in n log n; repeated rows each get their own result; other co
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -25,7 +26,7 @@ from docweave.llm.common import lean, text_rows
 
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
 #: Entries of each of a worker's caches before it is emptied (or becomes the older one), which bounds its memory.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class ForcedBoundaryBPE:
@@ -206,11 +207,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         bpe = load(tokenizer_path)
         try:
             for batch in batches:
+                gc.disable()  # encoding makes no cycles, and the collector would run through the caches
                 got = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+                gc.enable()
                 ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array([bpe.decode(x) for x in got], pa.string())], ["doc_id", "ids", "decoded"])
         finally:
+            gc.enable()
             bpe.forget()
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, ENCODED)
