@@ -27,6 +27,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex")
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Ordinary identifiers: whole tokens of letters alone.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}+(?![A-Za-z0-9+/_=-])"
 MIN_CHARS, MIN_SUM, MIN_MEAN = 20, 15.0, 0.5
 SAMPLE_DOCS = 2_000
 _N = 94
@@ -64,7 +66,7 @@ def train(base: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> list[floa
     values = base.select(F.explode(F.concat(F.transform("assign", lambda s: _value(s["value"])), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))).alias("v"))
     every = max(1, math.ceil(docs.count() / SAMPLE_DOCS))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]{4,}"), F.lit(0))).alias("v"))
+    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"))
     # at most 94 x 94 rows each
     rand = {r["pair"]: r["n"] for r in _pairs(values, "v").collect()}
     plain = {r["pair"]: r["n"] for r in _pairs(words, "v").collect()}
