@@ -17,4 +17,4 @@ def spark():
     return s
 
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
