@@ -29,7 +29,7 @@ from docweave.llm.common import durable, lean, small_side, text_rows
 
 SHINGLE, HALVES, HALF_ROWS = 5, 14, 2
 THRESHOLD_PERCENT = 75
-#: Of 56 minhashes, pairs with fewer in common are not read in full: at similarity 0.75 that hits one pair in 500,000.
+#: Of 56 minhashes, pairs with fewer in common are not read in full: at similarity 0.75 that hits one pair in 224,000.
 AGREE = 27
 _WORDS = 200_000
 _M = 2 * HALVES * HALF_ROWS
