@@ -5,12 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docweave.functions import cbor as C
+from docweave.functions import items as I
 from docweave.functions import jsontext as J
 from docweave.functions import msgpack as M
+from docweave.functions import typed
+
+
+ITEMS = "array<struct<kind:string,value:string>>"
 
 
 def _udf(f: Callable, kind: str):
@@ -66,3 +72,46 @@ def msgpack_validate(data: Column) -> Column:
 def decode_as(json_text: Column, schema: str) -> Column:
     """The typed row of a decoded value."""
     return F.from_json(json_text, schema)
+
+
+def cbor_items(data: Column) -> Column:
+    """Flat items of the bytes, heads as they come."""
+    return _udf(lambda b: list(I.cbor(bytes(b))), ITEMS)(data)
+
+
+def cbor_from_items(items: Column, checked: bool = True) -> Column:
+    """Bytes of items; with checked, null unless they are whole values."""
+    return _udf(lambda xs: I.to_cbor(((x[0], x[1]) for x in xs), checked), "binary")(items)
+
+
+def msgpack_items(data: Column) -> Column:
+    return _udf(lambda b: list(I.msgpack(bytes(b))), ITEMS)(data)
+
+
+def msgpack_from_items(items: Column, checked: bool = True) -> Column:
+    return _udf(lambda xs: I.to_msgpack(((x[0], x[1]) for x in xs), checked), "binary")(items)
+
+
+def msgpack_serialize(df: DataFrame, columns: list[str], out: str = "data") -> DataFrame:
+    """The columns as a MessagePack map by name, typed: binary as bin, timestamps as the timestamp extension."""
+    schema = df.select(*columns).schema
+
+    def run(x):
+        return M.encode(typed.to_msgpack(x, schema))
+
+    return df.withColumn(out, _udf(run, "binary")(F.struct(*columns)))
+
+
+def msgpack_deserialize(df: DataFrame, data: str, schema: str, out: str = "row") -> DataFrame:
+    """The first value of the bytes as a struct of the schema, and msgpack_error: another kind of value, a number
+    beyond its type, bytes that aren't MessagePack."""
+    kind = StructType.fromDDL(schema)
+
+    def run(b):
+        try:
+            return None if b is None else (typed.from_msgpack(next(M.values(bytes(b)), None), kind), None)
+        except M.MsgpackError as e:
+            return None, str(e)
+
+    got = F.udf(run, StructType().add("value", kind).add("error", "string"), useArrow=True)(F.col(data))
+    return df.withColumn("dw_d", got).withColumn(out, F.col("dw_d.value")).withColumn("msgpack_error", F.col("dw_d.error")).drop("dw_d")

@@ -60,9 +60,7 @@ def parse_rows(text: str, separator: str = ",", literal_quotes: bool = False) ->
         start, row = line, []
 
 
-def rows(df: DataFrame, text: str, separator: str = ",", literal_quotes: bool = False) -> DataFrame:
-    """A row for each CSV row of each text, with line and cells; csv_error says why a text stops early."""
-
+def _parsed(df: DataFrame, text: str, separator: str, literal_quotes: bool) -> DataFrame:
     def whole(t):
         out, it = [], parse_rows(t or "", separator, literal_quotes)
         try:
@@ -73,14 +71,37 @@ def rows(df: DataFrame, text: str, separator: str = ",", literal_quotes: bool =
         return out, None
 
     df = df.withColumn("dw_r", F.udf(whole, ROWS, useArrow=True)(F.col(text)))
-    return df.withColumn("csv_error", F.col("dw_r.error")).withColumn("dw_x", F.explode("dw_r.rows")).select("*", "dw_x.*").drop("dw_r", "dw_x")
+    return df.withColumn("csv_error", F.col("dw_r.error"))
+
+
+def rows(df: DataFrame, text: str, separator: str = ",", literal_quotes: bool = False) -> DataFrame:
+    """A row for each CSV row of each text, with line and cells; csv_error says why a text stops early."""
+    return _parsed(df, text, separator, literal_quotes).withColumn("dw_x", F.explode("dw_r.rows")).select("*", "dw_x.*").drop("dw_r", "dw_x")
 
 
 def with_headers(df: DataFrame, headers: list[str], cells: str = "cells") -> DataFrame:
     """Adds row, a struct of named cells, and header_error where the width differs (row is null then)."""
     fits = F.size(cells) == len(headers)
     named = F.struct(*[F.get(F.col(cells), F.lit(i)).alias(h) for i, h in enumerate(headers)])
-    return df.withColumn("row", F.when(fits, named)).withColumn("header_error", F.when(~fits, F.concat(F.lit(f"row has "), F.size(cells).cast("string"), F.lit(f" cells, headers are {len(headers)}"))))
+    return df.withColumn("row", F.when(fits, named)).withColumn("header_error", F.when(~fits, F.concat(F.lit("row has "), F.size(cells).cast("string"), F.lit(f" cells, headers are {len(headers)}"))))
+
+
+def first_headers(df: DataFrame, text: str, separator: str = ",", literal_quotes: bool = False) -> DataFrame:
+    """Rows of each text below its first row, whose cells name the columns: row is a map of named cells,
+    header_error says where the width differs (row is null then). Texts may have different headers."""
+    parsed = _parsed(df, text, separator, literal_quotes)
+    parsed = parsed.withColumn("headers", F.get("dw_r.rows", F.lit(0))["cells"])
+    below = parsed.withColumn("dw_x", F.explode(F.slice("dw_r.rows", 2, F.greatest(F.size("dw_r.rows"), F.lit(1))))).select("*", "dw_x.*").drop("dw_r", "dw_x")
+    fits = F.size("cells") == F.size("headers")
+    unique = F.size(F.array_distinct("headers")) == F.size("headers")
+    wrong = F.when(~unique, F.lit("duplicate headers")).when(~fits, F.concat(F.lit("row has "), F.size("cells").cast("string"), F.lit(" cells, headers are "), F.size("headers").cast("string")))
+    return below.withColumn("header_error", wrong).withColumn("row", F.when(F.col("header_error").isNull(), F.map_from_arrays("headers", "cells")))
+
+
+def skip_headers(df: DataFrame, text: str, separator: str = ",", literal_quotes: bool = False) -> DataFrame:
+    """Rows of each text without its first."""
+    parsed = _parsed(df, text, separator, literal_quotes)
+    return parsed.withColumn("dw_x", F.explode(F.slice("dw_r.rows", 2, F.greatest(F.size("dw_r.rows"), F.lit(1))))).select("*", "dw_x.*").drop("dw_r", "dw_x")
 
 
 def decode_columns(df: DataFrame, kinds: dict[str, str], source: str = "row", strict: bool = False) -> DataFrame:
@@ -111,6 +132,20 @@ def header_line(columns: list[str], separator: str = ",", mode: str = "auto") ->
     return encode_row(F.array(*map(F.lit, columns)), separator, mode)
 
 
+def checked_row(cells: Column, headers: list[str], separator: str = ",", mode: str = "auto") -> Column:
+    """struct(csv, error): a line, or an error where the width isn't that of the headers."""
+    fits = F.size(cells) == len(headers)
+    error = F.concat(F.lit("row has "), F.size(cells).cast("string"), F.lit(f" cells, headers are {len(headers)}"))
+    return F.struct(F.when(fits, encode_row(cells, separator, mode)).alias("csv"), F.when(~fits, error).alias("error"))
+
+
+def collect_text(line: Column, order: Column, head: Column | None = None, newline: str = "\n") -> Column:
+    """An aggregate: a group's lines as one text in the order given, each with its end, under a header line."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: F.concat(x["l"], F.lit(newline)))
+    text = F.array_join(body, "")
+    return text if head is None else F.concat(head, F.lit(newline), text)
+
+
 # Accessors on an array of cells; an index out of range changes nothing, as the whole row is at hand.
 
 

@@ -3,13 +3,16 @@ order, duplicate keys, number text, descent, and rendering; always in Arrow batc
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docweave.functions import jsontext as J
+from docweave.functions import layout as layouts
 from docweave.plans import jq, jsonpath, native, selector, steps
 
 MATCHES = "struct<matches:array<struct<n:int,path:string,kind:string,value:string,json:string>>,error:string>"
@@ -90,9 +93,10 @@ def selector_enclosed(doc: Column, text: str) -> Column:
     path = selector.parse(text)
 
     def run(t):
-        if t is None:
+        try:
+            got = steps.DELETE if t is None else steps.enclosed(J.parse(t), path)
+        except J.JsonError:
             return None
-        got = steps.enclosed(J.parse(t), path)
         return None if got is steps.DELETE else J.compact(got)
 
     return _udf(run, "string")(doc)
@@ -141,7 +145,7 @@ def tokens(doc: Column) -> Column:
 
 def from_tokens(stream: Column) -> Column:
     """JSON texts of the values of an array of tokens."""
-    return _udf(lambda ts: [J.compact(v) for v in J.from_tokens((t["kind"], t["value"]) for t in ts or [])], "array<string>")(stream)
+    return _udf(lambda ts: [J.compact(v) for v in J.from_tokens((t[1], t[2]) for t in ts or [])], "array<string>")(stream)
 
 
 def shred(df: DataFrame, doc: str) -> DataFrame:
@@ -211,19 +215,90 @@ def transform(doc: Column, path: str, f: Callable, delete: bool = False) -> Colu
         got = f(J.to_python(v))
         return steps.DELETE if delete and got is None else J.from_python(got)
 
+    return _udf(_rewritten(parsed, change), "string")(doc)
+
+
+def _rewritten(parsed: tuple[steps.Step, ...], change: Callable) -> Callable:
+    """Each of a text's documents with its matches changed, one a line; null where the text isn't JSON or the path is strict and fails."""
+
     def run(text):
-        return None if text is None else J.compact(steps.transform(J.parse(text), parsed, change))
+        try:
+            return None if text is None else "\n".join(J.compact(steps.transform(v, parsed, change)) for v in J.values(text))
+        except J.JsonError:
+            return None
+
+    return run
+
+
+def transform_typed(doc: Column, path: str, cls: type, f: Callable, delete: bool = False) -> Column:
+    """The same where f takes a dataclass made from the matched object and gives one, plain data or None. A match
+    whose fields aren't those of the class stays as it is."""
+    parsed = selector.parse(path)
+
+    def change(v):
+        data = J.to_python(v)
+        try:
+            typed = cls(**data)
+        except TypeError:
+            return v
+        got = f(typed)
+        if delete and got is None:
+            return steps.DELETE
+        return J.from_python(dataclasses.asdict(got) if dataclasses.is_dataclass(got) else got)
+
+    return _udf(_rewritten(parsed, change), "string")(doc)
+
+
+def transform_batches(df: DataFrame, doc: str, path: str, f: Callable[[list], list], delete: bool = False) -> DataFrame:
+    """The same where f has effects (a lookup elsewhere, say): it takes the matches of a whole Arrow batch at once
+    and gives as many results. A task that runs again calls it again."""
+    parsed = selector.parse(path)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(doc)
+            taken: list = []
+            keep = _rewritten(parsed, lambda v: taken.append(J.to_python(v)) or v)
+            texts = batch.column(at).to_pylist()
+            counts = []
+            for t in texts:
+                before = len(taken)
+                if keep(t) is None:
+                    del taken[before:]
+                counts.append(len(taken) - before)
+            results = iter(f(taken) if taken else [])
+
+            def change(v):
+                got = next(results)
+                return steps.DELETE if delete and got is None else J.from_python(got)
+
+            put = _rewritten(parsed, change)
+            out = [keep(t) if not n else put(t) for t, n in zip(texts, counts)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
 
-    return _udf(run, "string")(doc)
+
+def through(df: DataFrame, doc: str, path: str, f: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """Each match as a row (see select) through a function of DataFrames."""
+    return f(jsonpath_filter(df, doc, path, **how))
+
+
+def consume(df: DataFrame, doc: str, path: str, sink: Callable, **how) -> None:
+    """Hands the matches of each partition to a sink, an iterator of rows at a time; nothing comes back."""
+    jsonpath_filter(df, doc, path, **how).foreachPartition(sink)
 
 
 def merge_patch(doc: Column, patch: Column, keep_nulls: bool = False) -> Column:
-    """RFC 7396."""
+    """RFC 7396; null where one of the texts isn't JSON."""
 
     def run(a, b):
         if b is None:
             return a
-        return J.compact(J.merge_patch(J.parse(a) if a is not None else None, J.parse(b), keep_nulls))
+        try:
+            return J.compact(J.merge_patch(J.parse(a) if a is not None else None, J.parse(b), keep_nulls))
+        except J.JsonError:
+            return None
 
     return _udf(run, "string")(doc, patch)
 
@@ -239,5 +314,38 @@ def wrap_object(docs: Column, at: str, fields: dict[str, str] | None = None) ->
     return F.concat(F.lit("{" + head + J.quote(at) + ":"), wrap_array(docs), F.lit("}"))
 
 
+def strip_array(df: DataFrame, doc: str, strict: bool = False, out: str = "doc") -> DataFrame:
+    """The elements of top-level arrays, as JSON texts; other documents as they are or, with strict, an error."""
+
+    def run(text):
+        got = []
+        try:
+            for v in J.values(text or ""):
+                if strict and type(v) is not list:
+                    return None
+                got += [J.compact(x) for x in (v if type(v) is list else [v])]
+        except J.JsonError:
+            if strict:
+                return None
+        return got
+
+    got = _udf(run, "array<string>")(F.col(doc))
+    if strict:
+        got = F.coalesce(got, F.raise_error(F.lit("a top-level array is expected")).cast("array<string>"))
+    return df.withColumn(out, F.explode(got))
+
+
+def layout(events: Column, width: int = 100, indent: int = 2) -> Column:
+    """Text of an array of layout events (structs of kind and text); null where groups don't close."""
+
+    def run(es):
+        try:
+            return None if es is None else layouts.render([(e[0], e[1] or "") for e in es], width, indent)
+        except layouts.LayoutError:
+            return None
+
+    return _udf(run, "string")(events)
+
+
 def value_in_object(doc: Column, at: str) -> Column:
     return F.concat(F.lit("{" + J.quote(at) + ":"), doc.cast(StringType()), F.lit("}"))

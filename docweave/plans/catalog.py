@@ -5,12 +5,15 @@ Documents are built in the queries from base tables, so that the SQL can stay re
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import cells as C
+from docweave.functions import decoders as D
+from docweave.functions import layout as L
 from docweave.operators import binary as B
 from docweave.operators import csv as V
 from docweave.operators import json as J
@@ -503,3 +506,114 @@ def msgpack_size(spark, d):
 def pages_well_formed(spark, d):
     """HTML isn't XML: errors are values beside the rows."""
     return _t(spark, d, "pages").select("page_id", X.well_formed(F.col("html")).alias("error"))
+
+
+# Arrays taken apart, typed and batched changes, layouts
+
+
+@query(f"SELECT k, p FROM {_LINES}")
+def json_strip_array(spark, d):
+    """Top-level arrays taken apart."""
+    docs = order_docs(spark, d).select("k", F.get_json_object("doc", "$.lines").alias("doc"))
+    return J.strip_array(docs, "doc").select("k", F.get_json_object("doc", "$.p").cast("bigint").alias("p"))
+
+
+@query(f"SELECT k, p FROM {_LINES} WHERE p % 2 = 0")
+def jsonpath_through(spark, d):
+    """Each match through a function of DataFrames."""
+    even = lambda m: m.select("k", F.col("value").cast("bigint").alias("p")).where("p % 2 = 0")
+    return J.through(order_docs(spark, d), "doc", "$.lines[*].p", even)
+
+
+@dataclasses.dataclass
+class Line:
+    n: int
+    p: int
+    s: int
+
+
+@query(f"SELECT k, n, p + s AS p FROM {_LINES} WHERE n > 1")
+def json_transform_typed(spark, d):
+    """Lines as dataclasses: the first goes, the others' part becomes a sum."""
+    change = lambda x: dataclasses.replace(x, p=x.p + x.s) if x.n > 1 else None
+    docs = order_docs(spark, d).select("k", J.transform_typed(F.col("doc"), ".lines.[]", Line, change, delete=True).alias("doc"))
+    return J.jsonpath_deserialize(docs, "doc", "$.lines[*]", "struct<n:int,p:bigint>", "x").select("k", "x.n", "x.p")
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) + 1 AS k FROM events")
+def json_transform_batches(spark, d):
+    """Matches of a whole batch changed at once."""
+    docs = J.transform_batches(_t(spark, d, "events").select("event_id", "props"), "props", ".k", lambda ks: [k + 1 for k in ks])
+    return docs.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT n_nationkey AS k, 'name' || chr(10) || '  ' || n_name || chr(10) || '  region ' || n_regionkey AS text FROM nation")
+def layout_render(spark, d):
+    """A group too wide for its line breaks at its lines; the one inside fits."""
+
+    def event(e):
+        return F.struct(F.lit(e[0]).alias("kind"), (e[1] if isinstance(e[1], Column) else F.lit(e[1])).alias("text"))
+
+    inner = L.group([*L.text("region"), *L.line(), ("text", F.col("n_regionkey").cast("string"))])
+    events = L.group([*L.text("name"), *L.indented([*L.line(), ("text", F.col("n_name")), *L.line(), *inner])])
+    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), J.layout(F.array(*map(event, events)), 12).alias("text"))
+
+
+# Headers from the text, checked widths, decoders that combine
+
+
+@query("SELECT n_regionkey AS r, CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation")
+def csv_first_headers(spark, d):
+    """A text a region, a header line and a line a nation; the columns are found by name."""
+    lines = V.encode(_t(spark, d, "nation"), ["n_name", "n_nationkey"])
+    whole = lines.groupBy("n_regionkey").agg(V.collect_text(F.col("csv"), F.col("n_nationkey"), V.header_line(["name", "key"])).alias("t"))
+    return V.first_headers(whole, "t").select(F.col("n_regionkey").alias("r"), F.col("row")["key"].cast("bigint").alias("key"), F.col("row")["name"].alias("name"))
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey || ',' || n_name END AS csv, CASE WHEN n_nationkey % 2 = 1 THEN 'row has 1 cells, headers are 2' END AS error FROM nation")
+def csv_checked_rows(spark, d):
+    cells = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.col("n_nationkey").cast("string"), F.col("n_name"))).otherwise(F.array("n_name"))
+    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), V.checked_row(cells, ["a", "b"]).alias("x")).select("k", "x.*")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 2 * p_size WHEN p_size % 3 = 0 THEN -1 END AS v, CASE WHEN p_size % 2 = 1 AND p_size % 3 > 0 THEN '''s' || p_size || ''' is none of none' END AS error FROM part")
+def decoder_combinators(spark, d):
+    """An integer doubled, or the word none as -1, or an error."""
+    size = F.col("p_size").cast("string")
+    cell = F.when(F.col("p_size") % 2 == 0, size).when(F.col("p_size") % 3 == 0, "none").otherwise(F.concat(F.lit("s"), size))
+    decoder = D.of("int").map(lambda v: 2 * v).or_else(D.enum("none").map(lambda v: F.lit(-1)))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k"), decoder(cell).alias("x")).select("k", F.col("x.value").alias("v"), "x.error")
+
+
+# Flat items and typed MessagePack
+
+
+@query("SELECT o_orderkey AS k, 7 AS n, CAST(o_custkey AS VARCHAR) AS c FROM orders")
+def cbor_items(spark, d):
+    """Flat items of a map of three fields, written again and read once more."""
+    items = B.cbor_items(B.cbor_encode(F.col("row")))
+    again = _order_rows(spark, d).select("o_orderkey", B.cbor_items(B.cbor_from_items(items)).alias("x"))
+    return again.select(F.col("o_orderkey").alias("k"), F.size("x").alias("n"), F.col("x")[4]["value"].alias("c"))
+
+
+@query("SELECT o_orderkey AS k, 7 AS n, CAST(o_custkey AS VARCHAR) AS c FROM orders")
+def msgpack_items(spark, d):
+    items = B.msgpack_items(B.msgpack_encode(F.col("row")))
+    again = _order_rows(spark, d).select("o_orderkey", B.msgpack_items(B.msgpack_from_items(items)).alias("x"))
+    return again.select(F.col("o_orderkey").alias("k"), F.size("x").alias("n"), F.col("x")[4]["value"].alias("c"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def msgpack_typed_roundtrip(spark, d):
+    """Typed fields, a timestamp among them."""
+    names = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    orders = _t(spark, d, "orders").select(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema)
+    return B.msgpack_deserialize(B.msgpack_serialize(orders, names).select("data"), "data", schema).select("row.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 100 AS TINYINT) END AS v, CASE WHEN event_id % 2 = 1 THEN (1000 + event_id) || ' exceeds tinyint' END AS error FROM events")
+def msgpack_overflow(spark, d):
+    """Numbers beyond the type are errors beside the rows."""
+    e = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).otherwise(1000 + F.col("event_id")).alias("v"))
+    return B.msgpack_deserialize(B.msgpack_serialize(e, ["v"]), "data", "v tinyint").select("event_id", "row.v", F.col("msgpack_error").alias("error"))

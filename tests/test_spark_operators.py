@@ -2,13 +2,19 @@
 
 import dataclasses
 import datetime
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
 from docweave.functions import cells as C
+from docweave.functions import decoders as D
+from docweave.functions import items as I
+from docweave.functions import layout as L
+from docweave.functions import msgpack as M
 from docweave.functions import records
+from docweave.operators import binary as B
 from docweave.operators import csv as V
 from docweave.operators import json as J
 from docweave.operators import xml as X
@@ -105,3 +111,75 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_layout(spark):
+    got = L.render(L.group([*L.text("["), *L.indented([*L.linebreak(), *L.text("1,"), *L.line(), *L.text("2")]), *L.linebreak(), *L.text("]")]), 80)
+    assert got == "[1, 2]"
+    assert L.render(L.group([*L.text("["), *L.indented([*L.linebreak(), *L.text("1,"), *L.line(), *L.text("2")]), *L.linebreak(), *L.text("]")]), 4) == "[\n  1,\n  2\n]"
+    assert L.render(L.words("aa bb cc dd"), 5) == "aa bb\ncc dd" and L.render([]) == ""
+    with pytest.raises(L.LayoutError):
+        L.render([("open", "")])
+
+
+def test_decoders(spark):
+    number = D.of("int")
+    cases = [
+        (number.map(lambda v: v + 1), "4", (5, None)),
+        (number.either(D.of("boolean")), "true", ((None, True), None)),
+        (number.emap(lambda v: F.struct((v * 2).alias("value"), F.when(v > 9, "big").alias("error"))), "11", (22, "big")),
+        (number.flat_map(lambda v: D.of("string")), "7", ("7", None)),
+        (number.handle_error(lambda e: F.length(e)), "x", (34, None)),
+        (D.const(3), "x", (3, None)),
+        (D.enum("a", "b"), "c", (None, "'c' is none of a, b")),
+        (D.optional("int"), "", (None, None)),
+        (number.check(lambda v: v > 3, lambda v: F.lit("small")), "2", (None, "small")),
+    ]
+    for decoder, cell, want in cases:
+        assert _one(spark, decoder(F.lit(cell))) == want
+
+
+def test_items():
+    for text in ("83010203", "9f0102ff", "bf6161f5ff", "c249010000000000000000", "5f4101ff", "f97e00", "fb3ff199999999999a", "f8ff", "20", "f7"):
+        raw = bytes.fromhex(text)
+        assert I.to_cbor(I.cbor(raw)) == raw
+    with pytest.raises(Exception, match="unexpected end"):
+        I.to_cbor([("array", "2"), ("uint", "1")])
+    assert I.to_cbor([("array", "2"), ("uint", "1")], checked=False) == b"\x82\x01"
+    for x in (None, [1, -40, "a", b"\1", 1.5, M.Float32(0.5), M.Timestamp(1, 2), M.Ext(3, b"ab"), M.Pairs((("k", True),))]):
+        raw = M.encode(x)
+        assert I.to_msgpack(I.msgpack(raw)) == raw
+    with pytest.raises(M.MsgpackError):
+        I.to_msgpack([("map", "1"), ("nil", None)])
+
+
+def test_typed_msgpack(spark):
+    schema = "name string, age bigint, aliases array<string>, balance double, f float, things map<string,int>, raw binary, created timestamp, day date, price decimal(9,2), inner struct<a:int,b:string>"
+    at = datetime.datetime(2020, 1, 2, 3, 4, 5, 678901)
+    rows = [("é", 5, ["a", None], 1.5, 0.5, {"x": 1}, bytearray(b"\0\xff"), at, at.date(), decimal.Decimal("1.25"), (1, "q")), (None,) * 11]
+    df = spark.createDataFrame(rows, schema)
+    back = B.msgpack_deserialize(B.msgpack_serialize(df, df.columns).select("data"), "data", schema)
+    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, df.collect()))
+    bad = spark.createDataFrame([(b"\x81\xa1a\xa1b",), (b"\xc1",), (None,), (b"\x80",)], "data binary")
+    got = [(r["row"], r["msgpack_error"]) for r in B.msgpack_deserialize(bad, "data", "a int").collect()]
+    assert got == [(None, "str where int is expected"), (None, "0xc1 is reserved (at 0)"), (None, None), ((None,), None)]
+
+
+def test_changes_and_bad_documents(spark):
+    df = spark.createDataFrame([(1, '{"a":1}{"a":2}'), (2, "{"), (3, None), (4, '{"b":1}'), (5, '{"a":9}')], "k int, doc string")
+    seen = []
+    got = J.transform_batches(df.coalesce(1), "doc", ".a", lambda vs: [None if v == 9 else 10 * v for v in vs], delete=True)
+    assert [r["doc"] for r in got.orderBy("k").collect()] == ['{"a":10}\n{"a":20}', None, None, '{"b":1}', "{}"]
+    assert [r["x"] for r in df.orderBy("k").select(J.transform(F.col("doc"), ".a", lambda v: v + 1).alias("x")).collect()][1:] == [None, None, '{"b":1}', '{"a":10}']
+    assert _one(spark, J.merge_patch(F.lit("{"), F.lit("{}"))) is None and _one(spark, J.selector_enclosed(F.lit("["), ".a")) is None
+    assert sorted(r["doc"] for r in J.strip_array(readers.literal(spark, "[1,[2]]", '{"a":3}', "x"), "doc").collect()) == ["1", "[2]", '{"a":3}']
+    with pytest.raises(Exception, match="top-level array"):
+        J.strip_array(readers.literal(spark, "{}"), "doc", strict=True).collect()
+    J.consume(df, "doc", "$.a", lambda rows: seen.extend(rows))
+
+
+def test_csv_headers(spark):
+    df = spark.createDataFrame([(1, "a,b\n1,2\n3\n"), (2, "b\nx\n"), (3, ""), (4, None), (5, "a,a\n1,2\n"), (6, 'a\n1\n"')], "k int, t string")
+    got = [(r["k"], r["row"], r["header_error"]) for r in V.first_headers(df, "t").orderBy("k", "line").collect()]
+    assert got == [(1, {"a": "1", "b": "2"}, None), (1, None, "row has 1 cells, headers are 2"), (2, {"b": "x"}, None), (5, None, "duplicate headers"), (6, {"a": "1"}, None)]
+    assert [r["cells"] for r in V.skip_headers(df, "t").orderBy("k", "line").collect()] == [["1", "2"], ["3"], ["x"], ["1", "2"], ["1"]]
