@@ -1,8 +1,9 @@
 """Operator 6: secret scans by patterns and by character Markov models; DataFrame functions alone.
 
 Base spans come of three patterns, over whole texts. Two first-order Markov models over printable ASCII are
-trained: one of random strings, on the values of all base spans, one of ordinary identifiers, on the letter
-runs of a sample of SAMPLE_DOCS documents at most. A token of MIN_CHARS or more that no base span meets is
+trained: one of random strings, on the values of all base spans, one of ordinary identifiers, on the whole
+tokens of letters of all documents; equal strings are counted first, so that what is shuffled and taken apart
+into pairs is each distinct string once. A token of MIN_CHARS or more that no base span meets is
 added if the log-likelihood ratio of the models, summed and per character, passes its bounds. The ratios are
 a table of 94 x 94 figures, which goes along as a constant.
 
@@ -30,7 +31,6 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Ordinary identifiers: whole tokens of letters alone.
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}+(?![A-Za-z0-9+/_=-])"
 MIN_CHARS, MIN_SUM, MIN_MEAN = 20, 15.0, 0.5
-SAMPLE_DOCS = 2_000
 _N = 94
 
 
@@ -54,22 +54,20 @@ def _codes(value):
     return F.filter(F.transform(F.split(value, ""), lambda c: F.ascii(c) - 33), lambda i: (i >= 0) & (i < _N))
 
 
-def _pairs(df: DataFrame, value: str) -> DataFrame:
-    """Counts of adjacent characters, as i * 94 + j."""
-    df = df.select(_codes(F.col(value)).alias("c")).where("size(c) > 1")
+def _pairs(strings: DataFrame) -> DataFrame:
+    """Counts of adjacent characters in the strings v, as i * 94 + j."""
+    df = strings.groupBy("v").agg(F.count("*").alias("times")).select(_codes(F.col("v")).alias("c"), "times").where("size(c) > 1")
     pairs = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * _N + b)
-    return df.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    return df.select(F.explode(pairs).alias("pair"), "times").groupBy("pair").agg(F.sum("times").alias("n"))
 
 
-def train(base: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> list[float] | None:
+def train(base: DataFrame, docs: DataFrame) -> list[float] | None:
     """The table of log-likelihood ratios (random against ordinary), or None without any secret."""
     values = base.select(F.explode(F.concat(F.transform("assign", lambda s: _value(s["value"])), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))).alias("v"))
-    every = max(1, math.ceil(docs.count() / SAMPLE_DOCS))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"))
     # at most 94 x 94 rows each
-    rand = {r["pair"]: r["n"] for r in _pairs(values, "v").collect()}
-    plain = {r["pair"]: r["n"] for r in _pairs(words, "v").collect()}
+    rand = {r["pair"]: r["n"] for r in _pairs(values).collect()}
+    plain = {r["pair"]: r["n"] for r in _pairs(words).collect()}
     if not rand or not plain:
         return None
     table = []
