@@ -26,8 +26,14 @@ class XmlError(ValueError):
         self.rule = rule
 
 
+#: What XML 1.0 doesn't take as characters (fixed values).
+_NO_CHAR = re.compile("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uD800-\\uDFFF\\uFFFE\\uFFFF]")
+
+
 def _texty(s: str, attribute: bool) -> list[tuple]:
     out, at = [], 0
+    if m := _NO_CHAR.search(s):
+        raise XmlError("2", f"{ord(m[0])} is no character")
     s = s.replace("\r\n", "\n").replace("\r", "\n")
     if attribute:
         if "<" in s:
@@ -307,6 +313,8 @@ def _out(e: tuple) -> str:
             return f"&#x{e[1]:04x};"
         case "entity":
             return f"&{e[1]};"
+        case "raw":
+            return e[1]
         case "text":
             return e[1].replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         case "comment":
@@ -323,6 +331,11 @@ def _out(e: tuple) -> str:
     return ""
 
 
+def bare(s: str) -> str:
+    """A text with references as written, fit to be one: < and an & that starts no reference are escaped."""
+    return re.sub(rf"&(?!#x[0-9a-fA-F]+;|#[0-9]+;|{NAME};)", "&amp;", s).replace("<", "&lt;")
+
+
 def _start(e: tuple, collapse: bool) -> str:
     attrs = "".join(f' {n}="' + "".join(_out(x).replace('"', "&quot;") for x in v) + '"' for n, v in e[2])
     return f"<{e[1]}{attrs}" + ("/>" if collapse and e[3] else ">")

@@ -88,6 +88,54 @@ def xpath_first(df: DataFrame, doc: str, path: str) -> DataFrame:
     return xpath_filter(df, doc, path, max_matches=1)
 
 
+def xpath_through(df: DataFrame, doc: str, path: str, f: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """Each match as a row (see xpath_filter) through a function of DataFrames."""
+    return f(xpath_filter(df, doc, path, **how))
+
+
+def xpath_consume(df: DataFrame, doc: str, path: str, sink: Callable, **how) -> None:
+    """Hands the matches of each partition to a sink, an iterator of rows at a time; nothing comes back."""
+    xpath_filter(df, doc, path, **how).foreachPartition(sink)
+
+
+def xpath_dom(df: DataFrame, doc: str, path: str, **how) -> DataFrame:
+    """The node tables of the matched elements: a row for each element below a match n, columns as of shred()."""
+    found = xpath_filter(df, doc, path, **how).select(*df.columns, "n", F.col("xml").alias("dw_d"))
+    return shred(found, "dw_d").drop("dw_d")
+
+
+def from_events(stream: Column, collapse_empty: bool = True) -> Column:
+    """Text of an array of events (see events()), of unresolved ones as it was but for the encoding in a
+    declaration; null where tags don't match. An & in an attribute that starts no reference is escaped."""
+
+    def run(es):
+        if es is None:
+            return None
+        out, open_ = [], []
+        for _, kind, name, value, attrs, empty in es:
+            if kind == "start":
+                open_.append(name)
+                shown = [(k, [("raw", X.bare(v))]) for k, v in (attrs.items() if isinstance(attrs, dict) else attrs or [])]
+                out.append((kind, name, shown, bool(empty)))
+            elif kind == "end":
+                if not open_ or open_.pop() != name:
+                    return None
+                out.append((kind, name))
+            elif kind == "pi":
+                out.append((kind, name, value))
+            elif kind == "charref":
+                out.append((kind, int(value)))
+            elif kind in ("entity", "doctype"):
+                out.append((kind, name))
+            elif kind == "decl":
+                out.append((kind, value, None, None))
+            else:
+                out.append((kind, value))
+        return None if open_ else X.render(out, collapse_empty)
+
+    return _udf(run, "string")(stream)
+
+
 def xpath_collect(doc: Column, path: str) -> Column:
     """Texts of the matches, in document order."""
     return F.transform(xpath_column(doc, path)["matches"], lambda m: m["text"])

@@ -617,3 +617,18 @@ def msgpack_overflow(spark, d):
     """Numbers beyond the type are errors beside the rows."""
     e = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).otherwise(1000 + F.col("event_id")).alias("v"))
     return B.msgpack_deserialize(B.msgpack_serialize(e, ["v"]), "data", "v tinyint").select("event_id", "row.v", F.col("msgpack_error").alias("error"))
+
+
+@query("SELECT n_regionkey AS r, name, count(*) AS n FROM (SELECT n_regionkey, unnest(['n:nation', 'name']) AS name FROM nation) GROUP BY ALL")
+def xpath_dom(spark, d):
+    """The elements of matched subtrees."""
+    return X.xpath_dom(_region_xml(spark, d), "doc", "/region/nation").groupBy("r", "name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT n_regionkey AS r, true AS same FROM nation")
+def xml_events_written(spark, d):
+    """Events written as text give the events once more."""
+    first = X.events(F.col("doc"))["events"]
+    again = X.events(X.from_events(first))["events"]
+    same = F.transform(first, lambda e: F.struct(e["kind"], e["name"], e["value"])) == F.transform(again, lambda e: F.struct(e["kind"], e["name"], e["value"]))
+    return _region_xml(spark, d).select("r", same.alias("same"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from docweave.__main__ import results as jq_results
 from docweave.functions import cells as C
 from docweave.functions import decoders as D
 from docweave.functions import items as I
@@ -183,3 +184,23 @@ def test_csv_headers(spark):
     got = [(r["k"], r["row"], r["header_error"]) for r in V.first_headers(df, "t").orderBy("k", "line").collect()]
     assert got == [(1, {"a": "1", "b": "2"}, None), (1, None, "row has 1 cells, headers are 2"), (2, {"b": "x"}, None), (5, None, "duplicate headers"), (6, {"a": "1"}, None)]
     assert [r["cells"] for r in V.skip_headers(df, "t").orderBy("k", "line").collect()] == [["1", "2"], ["3"], ["x"], ["1", "2"], ["1"]]
+
+
+def test_jq_command(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a":[1,2]} {"a":[3]}')
+    assert list(jq_results(spark, '.a[] | {"v": .}', f"{tmp_path}/a.json")) == ['{"v":1}', '{"v":2}', '{"v":3}']
+
+
+def test_xml_events_written_again(spark):
+    doc = '<?xml version="1.0"?><!DOCTYPE r><r a="x&lt;&#x0041;"><!--c--><?p q?><b/>t&amp;u<![CDATA[<z>]]></r>'
+    assert _one(spark, X.from_events(X.events(F.lit(doc))["events"])) == doc
+    assert _one(spark, X.from_events(X.events(F.lit('<r a="1 &amp; 2"/>'), resolve=True)["events"])) == '<r a="1 &amp; 2"/>'
+    assert _one(spark, X.from_events(X.events(F.lit("<a><b></a>"))["events"])) is None
+
+
+def test_xpath_matches_used(spark):
+    df = readers.literal(spark, '<r><g i="1"><x/><y>t</y></g><g i="2"/></r>', "<r>", "<r>\x01</r>")
+    assert [(r["n"], r["name"], r["depth"]) for r in X.xpath_dom(df, "doc", "//g").orderBy("n", "node_id").collect()] == [(0, "g", 0), (0, "x", 1), (0, "y", 1), (1, "g", 0)]
+    assert X.xpath_through(df, "doc", "//g", lambda m: m.where("attrs['i'] = '2'")).count() == 1
+    X.xpath_consume(df, "doc", "//g", lambda rows: sum(1 for _ in rows))
+    assert _one(spark, X.well_formed(F.lit("<r>\x01</r>"))) == "[2] 1 is no character"
