@@ -25,7 +25,8 @@ def to_msgpack(x, kind: T.DataType):
         pairs = x.items() if isinstance(x, dict) else x
         return M.Pairs(tuple((to_msgpack(k, kind.keyType), to_msgpack(v, kind.valueType)) for k, v in pairs))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        at = x.astimezone(datetime.timezone.utc).replace(tzinfo=None) if x.tzinfo else x
+        # Spark hands instants over without a zone, in the worker's local time
+        at = x.astimezone(datetime.timezone.utc).replace(tzinfo=None) if isinstance(kind, T.TimestampType) else x
         micros = (at - EPOCH) // datetime.timedelta(microseconds=1)
         return M.Timestamp(micros // 1_000_000, micros % 1_000_000 * 1000)
     if isinstance(kind, T.FloatType):
