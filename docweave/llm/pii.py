@@ -1,7 +1,8 @@
 """Operator 5: personal data, by patterns and by bootstrapped contextual extraction; DataFrame functions alone.
 
 Base spans: e-mail, IPv4, payment card (Luhn) and phone patterns, over whole texts. They are the seeds.
-Every token with a digit or an @ is an instance; its pattern is the word before it and its shape. Pattern
+Every token with a digit or an @ is an instance; its pattern is the word before it (itself an instance or not;
+none before a text's first) and its shape. Pattern
 and instance scores are carried over the graph between them ROUNDS times: a pattern's confidence for a kind
 is the mean of its distinct instances' scores, an instance's score is 1 for a seed and else
 1 - product(1 - confidence) over its patterns. Patterns of MIN_CONFIDENCE and MIN_SUPPORT then name what
@@ -26,7 +27,8 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ("email", "ip", "card", "phone")
-TOKEN = r"(?<!\S)(\S++)\s++(?=\S*[0-9@])(\S++)"
+TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
+_LAST_WORD = r"(?<!\S)(\S++)\s++\z"
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 3, 0.9, 5
 
 
@@ -61,11 +63,11 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 def _instances(rows: DataFrame) -> DataFrame:
     """A row for each token with a digit or an @: its place, the word before it, its shape, and the kind of the
     base span that it meets, if any."""
-    m = rows.withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    m = m.withColumn("found", spans.places("text", "m", TOKEN)).select("doc_id", "uid", *KINDS, F.explode("found").alias("x"))
-    value = F.regexp_extract("x.value", r"\S+$", 0)
-    m = m.select("doc_id", "uid", *KINDS, F.lower(F.regexp_extract("x.value", r"^\S+", 0)).alias("before"), value.alias("value"), F.col("x.end").alias("end"))
-    m = m.withColumn("start", F.col("end") - F.length("value"))
+    m = rows.withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).withColumn("between", F.split("text", TOKEN, -1))
+    # the word before stands at the end of the text since the instance before, or is that instance; a text's first has ""
+    word = lambda i: F.coalesce(F.nullif(F.regexp_extract(F.get("between", i), _LAST_WORD, 1), F.lit("")), F.get("m", i - 1), F.lit(""))
+    found = F.transform(spans.places("text", "m", TOKEN), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(word(i)).alias("before")))
+    m = m.select("doc_id", "uid", *KINDS, F.explode(found).alias("x")).select("doc_id", "uid", *KINDS, "x.*")
     meets = lambda k: F.exists(k, lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     seed = F.coalesce(*[F.when(meets(k), F.lit(k)) for k in KINDS])
     # punctuation around the identifier isn't part of it

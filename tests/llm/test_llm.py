@@ -270,6 +270,27 @@ def test_pii_bootstraps_a_context(spark):
     assert got[100] == "card:18:34" and got[101] == ""
 
 
+def test_pii_instances_in_a_row_and_at_the_start(spark):
+    """Each token with a digit or an @ is an instance, whatever stands before it; contexts of numbers are learnt."""
+    rows = [(0, "7 a@b 8\t9x y 10", "u")]
+    df = pii.base_spans(spark.createDataFrame(rows, "doc_id bigint, text string, uid string"))
+    got = {(r["start"], r["end"], r["value"]) for r in pii._instances(df).collect()}
+    assert got == {(0, 1, "7"), (2, 5, "a@b"), (6, 7, "8"), (8, 10, "9x"), (13, 15, "10")}
+    pattern = {r["value"]: r["pattern"] for r in pii._instances(df).collect()}
+    assert len(set(pattern.values())) == 5
+
+    def card(i):
+        d = f"{4000000000000000 + i * 7919:016d}"[:15]
+        s = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(d)))
+        return d + str(-s % 10)
+
+    bad = card(99)[:-1] + str((int(card(99)[-1]) + 1) % 10)
+    rows = [(i, f"Kunde 77: {card(i)} here") for i in range(60)] + [(100, f"Kunde 77: {bad} here")]
+    rows += [(200 + i, f"{card(300 + i)} begins") for i in range(60)] + [(300, f"{bad} begins")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got[100] == "card:10:26" and got[300] == "card:0:16"
+
+
 def test_secrets_base(spiked, none):
     got = secrets.digests(secrets.find(spiked)).collect()
     want = sorted((str(i), _sha(",".join(_brute_secrets(t)))) for i, t in _rows(spiked))
