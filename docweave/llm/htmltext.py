@@ -12,8 +12,8 @@ and everything else is not. As one site's mark-up teaches one rule, each sample
 VARIANTS layouts with other tags, class names and furniture before training.
 
 Defined cases: null, empty and textless html give an empty text; unclosed, misnested and cut-off mark-up is
-read as browsers do for blocks (a new block closes an open paragraph); script, style, comments and forms are
-never text; very long pages are read whole; white space inside a block, <br> included, is one space.
+read as browsers do for blocks (a new block closes an open paragraph); script, style, comments, forms and what
+HELD elements hold are never text (one without its end tag holds what comes before the next block); very long pages are read whole; white space inside a block, <br> included, is one space.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ SAMPLE_PAGES, VARIANTS = 300, 2
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe select option button object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Ordinary mark-up whose text isn't the page's; end tags may be missing.
+HELD = frozenset("svg option select button object canvas".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img label".split())
 FURNITURE = frozenset("nav footer aside form header menu dialog head".split())
 CONTENT = frozenset("article main".split())
@@ -68,13 +70,31 @@ class Node:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     """Elements, and the page's text in order: (element, text, whether a new block starts here)."""
+    nodes, out, loose = _read(page, frozenset())
+    if loose:
+        nodes, out, _ = _read(page, loose)
+    return nodes, out
+
+
+def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int, str, bool]], frozenset[int]]:
+    """As parse; and where HELD elements start whose end tag is missing. Those in `loose` end at the next block."""
     nodes, open_, out, at = [Node("#root", "", -1, 0)], [0], [], 0
+    tags = ["#root"]  # of open_; inside a HELD element all stand for that one
+    held, missing = [], set()  # open HELD elements: their places in open_ and in the page
     fresh = True
-    end, lower = len(page), None
+    end = len(page)
+
+    def cut(k: int, own: bool = False) -> None:
+        del open_[k:], tags[k:]
+        while held and held[-1][0] >= k:
+            level, start = held.pop()
+            if not own or level > k:
+                missing.add(start)
+
     while at <= end:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
-        if text:
+        if text and not held:
             out.append((open_[-1], text, fresh))
             fresh = False
         if not m:
@@ -86,40 +106,47 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         tag = tag.lower()
         if tag not in INLINE:
             fresh = True
-        if tag == "br":
+        if tag == "br" and not held:
             out.append((open_[-1], " ", False))
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
-                if nodes[open_[k]].tag == tag:
-                    del open_[k:]
+                if tags[k] == tag:
+                    cut(k, own=True)
                     break
-                if tag in INLINE and nodes[open_[k]].tag not in INLINE:
+                if tag in INLINE and tags[k] not in INLINE:
                     break  # an inline end tag doesn't close blocks
             continue
         if tag in CLOSES_P:
+            while held and held[-1][1] in loose:
+                cut(held[-1][0])
             for k in range(len(open_) - 1, 0, -1):
-                if (t := nodes[open_[k]].tag) == "p" or tag == t == "li":
-                    del open_[k:]
+                if (t := tags[k]) == "p" or tag == t == "li":
+                    cut(k)
                     break
                 if t not in INLINE:
                     break
-        words = ""
-        if m[3]:
-            words = " ".join((a or b or c) for n, a, b, c in _ATTR.findall(m[3]) if n.lower() in ("class", "id", "role"))
-        parent = open_[-1]
-        nodes.append(Node(tag, words, parent, len(open_), len(nodes[parent].kids)))
-        nodes[parent].kids.append(len(nodes) - 1)
-        if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            if len(lower) != end:  # a character whose lower case is longer
-                lower = page
-            close = lower.find(f"</{tag}", at)
-            at = end if close < 0 else (page.find(">", close) + 1 or end)
+        elif tag == "option" and tags[-1] == tag:
+            cut(len(tags) - 1)
+        if not held:
+            words = ""
+            if m[3]:
+                words = " ".join((a or b or c) for n, a, b, c in _ATTR.findall(m[3]) if n.lower() in ("class", "id", "role"))
+            parent = open_[-1]
+            nodes.append(Node(tag, words, parent, len(open_), len(nodes[parent].kids)))
+            nodes[parent].kids.append(len(nodes) - 1)
+        empty = m[3].endswith("/")
+        if tag in RAW and not (empty and held and "svg" in tags):
+            close = re.compile(f"</{tag}", re.I | re.A).search(page, at)
+            at = (page.find(">", close.end()) + 1 or end) if close else end
             if at >= end:
                 break
-        elif tag not in VOID and not m[3].endswith("/"):
-            open_.append(len(nodes) - 1)
-    return nodes, out
+        elif tag not in VOID and not empty:
+            open_.append(open_[-1] if held else len(nodes) - 1)
+            tags.append(tag)
+            if tag in HELD:
+                held.append((len(open_) - 1, m.start()))
+    cut(1)
+    return nodes, out, frozenset(missing)
 
 
 def blocks(nodes: list[Node], texts: list[tuple[int, str, bool]]) -> list[tuple[int, str]]:
@@ -242,7 +269,7 @@ def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
     for i in range(1, len(nodes)):
         n = nodes[i]
         up = state[n.parent]
-        if up < 0 or n.tag in ("nav", "form", "footer", "aside", "dialog", "menu") or n.tag in RAW:
+        if up < 0 or n.tag in ("nav", "form", "footer", "aside", "dialog", "menu") or n.tag in RAW or n.tag in HELD:
             state[i] = -1
         elif up > 0:
             state[i] = -1 if score[i] < -2.0 and n.tag not in INLINE else 1

@@ -395,6 +395,16 @@ def test_html_text(spark):
     assert htmltext.extract("<main><p>Some text, here.</p></main>", htmltext.fit(pages.limit(0)))
 
 
+def test_html_text_after_marks_without_end_tags(spark):
+    model = htmltext.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    article = "<article><h1>Head</h1><p>One two, three.</p><p>Four five.</p></article>"
+    before = ['<svg viewBox="0 0 1 1"/>', '<svg><path d="x"></svg>', "<svg><title/><style/><g>no</svg>", "<datalist><option value=a><option value=b></datalist>", "<select><option>no<option>no", "<button>no", "<button><div>no</div></button>"]
+    before += ["<object data=x>no", "<canvas>no", "<div><button>no</div>", "<button>no<svg><p>no</p>no</svg><button><div>no</div>no</button>", "<script>'\u0130'</SCRIPT>", "<button>no<p></p><svg>no<p></p><object>no"]
+    for mark in before:
+        for after in ("", "<svg></svg><button>no</button><object></object><canvas></canvas><select></select>"):
+            assert htmltext.extract(f"<html><body>{mark}{article}{after}<footer>no</footer></body></html>", model) == "Head\nOne two, three.\nFour five.", mark
+
+
 def test_html_layouts_held_out(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
     model, rng, good, got, want = htmltext.train(pages[::2]), random.Random(99), 0, 0, 0
