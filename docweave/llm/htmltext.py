@@ -13,7 +13,8 @@ VARIANTS layouts with other tags, class names and furniture before training.
 
 Defined cases: null, empty and textless html give an empty text; unclosed, misnested and cut-off mark-up is
 read as browsers do for blocks (a new block closes an open paragraph); script, style, comments, forms and what
-HELD elements hold are never text (one without its end tag holds what comes before the next block); very long pages are read whole; white space inside a block, <br> included, is one space.
+HELD elements hold are never text (one without its end tag holds what comes before the next block); text
+outside any element, or in <html> alone, is the body's, which is made if there is none; very long pages are read whole; white space inside a block, <br> included, is one space.
 """
 
 from __future__ import annotations
@@ -81,9 +82,18 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
     nodes, open_, out, at = [Node("#root", "", -1, 0)], [0], [], 0
     tags = ["#root"]  # of open_; inside a HELD element all stand for that one
     held, missing = [], set()  # open HELD elements: their places in open_ and in the page
-    fresh = True
+    fresh, body = True, 0
     end = len(page)
 
+    def bodied() -> int:
+        """The body, for what hangs on the root or on <html>; one is made if the page has none."""
+        nonlocal body
+        if not body:
+            nodes.append(Node("body", "", open_[-1], len(open_), len(nodes[open_[-1]].kids)))
+            body = len(nodes) - 1
+            nodes[open_[-1]].kids.append(body)
+        return body
+
     def cut(k: int, own: bool = False) -> None:
         del open_[k:], tags[k:]
         while held and held[-1][0] >= k:
@@ -94,8 +104,9 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
     while at <= end:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
+        bare = len(open_) == 1 or tags[-1] == "html"
         if text and not held:
-            out.append((open_[-1], text, fresh))
+            out.append((bodied() if bare and (body or text.strip("\ufeff \t\n\r\f")) else open_[-1], text, fresh))
             fresh = False
         if not m:
             break
@@ -107,7 +118,7 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
         if tag not in INLINE:
             fresh = True
         if tag == "br" and not held:
-            out.append((open_[-1], " ", False))
+            out.append((bodied() if bare else open_[-1], " ", False))
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
                 if tags[k] == tag:
@@ -131,9 +142,12 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
             words = ""
             if m[3]:
                 words = " ".join((a or b or c) for n, a, b, c in _ATTR.findall(m[3]) if n.lower() in ("class", "id", "role"))
-            parent = open_[-1]
-            nodes.append(Node(tag, words, parent, len(open_), len(nodes[parent].kids)))
+            bare = len(open_) == 1 or tags[-1] == "html"
+            parent = bodied() if bare and tag in INLINE else open_[-1]
+            nodes.append(Node(tag, words, parent, nodes[parent].depth + 1, len(nodes[parent].kids)))
             nodes[parent].kids.append(len(nodes) - 1)
+            if tag == "body":
+                body = len(nodes) - 1
         empty = m[3].endswith("/")
         if tag in RAW and not (empty and held and "svg" in tags):
             close = re.compile(f"</{tag}", re.I | re.A).search(page, at)

@@ -405,6 +405,15 @@ def test_html_text_after_marks_without_end_tags(spark):
             assert htmltext.extract(f"<html><body>{mark}{article}{after}<footer>no</footer></body></html>", model) == "Head\nOne two, three.\nFour five.", mark
 
 
+def test_html_text_outside_elements(spark):
+    model = htmltext.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    rows = [(4, "w", "plain"), (5, "x", "Text<br>more <b>text</b>"), (6, "y", "<b>A</b> <i>B</i> c"), (7, "z", "<html><head><title>t</title></head>in html</html>"), (8, "q", "\ufeff<html><body></body></html>")]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), model).collect()}
+    assert got == {4: "plain", 5: "Text more text", 6: "A B c", 7: "in html", 8: ""}
+    nodes, texts = htmltext.parse("<html><body><p>one</p></body></html>\ntwo")
+    assert [(nodes[n].tag, t) for n, t in htmltext.blocks(nodes, texts)] == [("p", "one"), ("body", "two")] and sum(n.tag == "body" for n in nodes) == 1
+
+
 def test_html_layouts_held_out(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
     model, rng, good, got, want = htmltext.train(pages[::2]), random.Random(99), 0, 0, 0
