@@ -107,7 +107,7 @@ def _entries(reps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep and its shingle set as bytes, for the documents in `wanted` (rep, set_key)."""
+    """rep and its shingle set as bytes, for the documents in `wanted` (rep, set_key); a repeated id may have several."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +118,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 s = shingles(text.as_py(), hashes)
                 if xxhash.xxh3_128_digest(s.tobytes()) == key.as_py():  # of repeated ids, the right text
                     keep.append((i, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in keep], pa.int64())), pa.array([x for _, x in keep], pa.binary())], ["rep", "items"])
+            at = pa.array([i for i, _ in keep], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([x for _, x in keep], pa.binary())], ["rep", "set_key", "items"])
 
     rows = text_rows(docs, id_col, text_col).join(small_side(wanted.select(F.col("rep").alias("doc_id"), "set_key"), 100), "doc_id")
-    return rows.mapInArrow(run, "rep bigint, items binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(run, "rep bigint, set_key binary, items binary").dropDuplicates(["rep", "set_key"]).drop("set_key")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,13 +190,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _same_ids(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes that one repeated id with different texts belongs to."""
+    ids = sigs.where("doc_id is not null").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
+    least = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").select("doc_id", "b")
+    return ids.join(least, "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     sigs = durable(signatures(docs, id_col, text_col))
     first = F.min("doc_id")
     classes = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(first.alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     classes = durable(classes)
-    # two different sets under one repeated id are one node, as they reach each other
+    # two different sets under one repeated id are one node, as they reach each other; pairs of it are tried with both
     entries = durable(_entries(classes.select("rep", "sig")).distinct())
 
     sig = classes.select("rep", "sig")
@@ -206,7 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").where(agree >= AGREE).select("a", "b").distinct()
 
     sets = None
-    links, comps = None, None
+    links = durable(_same_ids(sigs, classes))
+    links = None if links.isEmpty() else links
+    comps = None if links is None else durable(components(links))
     for turn in range(3):
         own = entries
         if comps is not None:

@@ -159,6 +159,20 @@ def test_near_duplicates_just_around_the_bound(spark):
     assert got == _brute_components(rows)
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """Links of either text count, and ids that a repeated one has equal texts with are in its component."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 120, 4):
+        x, y = _words(rng, 60), _words(rng, 60)
+        rows += [(i, x), (i, y), (i + 1, x + " end"), (i + 2, y + " end"), (i + 3, _words(rng, 30))]
+    x, y = _words(rng, 60), _words(rng, 60)
+    rows += [(200, x), (201, x), (201, y), (202, y + " end")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {i: i if i == 200 or i % 4 == 3 else i // 4 * 4 for i, _ in rows} | {201: 200, 202: 200}
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["comp"] for r in neardup.components(edges).collect()}
