@@ -6,9 +6,10 @@ collections A and B. A table's key is a pair of one key from A and one from B, s
 with probability (1 - (1 - 0.75 ** 2) ** 14) ** 2 > 0.99998.
 
 Pairs are formed only where both half keys are shared with some other set. In each table entry the members
-are compared with one of them (the least; later, another), on full sets, never all with all. Then the
-components are joined, and what still lies in different components and shares an entry is compared pair by
-pair, so no link between different texts is lost to this economy.
+are compared with one of them (the least; later, another), on full sets, never all with all, where their minhashes
+promise a link. Then the components are joined, and what still lies in different components and shares an entry
+is compared pair by pair, whatever the minhashes say, but for pairs whose sizes and rarest shingles rule a link
+out. So no link between different texts is lost to this economy.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer words than five form
 one shingle; equal sets collapse before anything else; repeated ids share their least component; rows with
@@ -29,7 +30,7 @@ from docweave.llm.common import durable, lean, small_side, text_rows
 
 SHINGLE, HALVES, HALF_ROWS = 5, 14, 2
 THRESHOLD_PERCENT = 75
-#: Of 56 minhashes, pairs with fewer in common are not read in full: at similarity 0.75 that hits one pair in 224,000.
+#: Of 56 minhashes, pairs with fewer in common are put off: not read in full in the first two turns, but only in the last.
 AGREE = 27
 _WORDS = 200_000
 _M = 2 * HALVES * HALF_ROWS
@@ -217,28 +218,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = durable(_same_ids(sigs, classes))
     links = None if links.isEmpty() else links
     comps = None if links is None else durable(components(links))
-    for turn in range(3):
-        own = entries
+    for turn in range(0 if entries.isEmpty() else 3):
+        own = entries.withColumn("comp", F.col("rep"))
         if comps is not None:
             own = entries.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             own = durable(own.join(mixed, "key"))
+        if sets is None:
+            members = durable(entries.select("rep").distinct().join(classes.select("rep", "set_key"), "rep"))
+            sets = durable(_sets(docs, members, id_col, text_col))
         if turn == 0:
             leader = own.groupBy("key").agg(F.min("rep").alias("b"))
-            pairs = own.join(leader, "key").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+            pairs = likely(own.join(leader, "key").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
         elif turn == 1:
             leader = own.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep")).alias("l")).select("key", F.col("l.rep").alias("b"), F.col("l.comp").alias("c"))
-            pairs = own.join(leader, "key").where("rep != b and comp != c").select(F.col("rep").alias("a"), "b").distinct()
+            pairs = likely(own.join(leader, "key").where("rep != b and comp != c").select(F.col("rep").alias("a"), "b").distinct())
         else:
             pairs = _rare_pairs(sets.join(own.select("rep", "comp").distinct(), "rep"))
-        pairs = durable(likely(pairs))
+        pairs = durable(pairs)
         if pairs.isEmpty():
-            if turn:
-                continue
-            break
-        if sets is None:
-            members = durable(entries.select("rep").distinct().join(classes.select("rep", "set_key"), "rep"))
-            sets = durable(_sets(docs, members, id_col, text_col))
+            continue
         new = durable(_links(pairs, sets))
         links = new if links is None else links.unionByName(new)
         comps = durable(components(links))

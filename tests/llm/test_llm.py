@@ -159,6 +159,12 @@ def test_near_duplicates_just_around_the_bound(spark):
     assert got == _brute_components(rows)
 
 
+def test_near_duplicates_that_few_minhashes_tell(spark, monkeypatch):
+    """Minhashes put pairs off but don't drop them: with a bound that no pair reaches, all links are found."""
+    monkeypatch.setattr(neardup, "AGREE", 57)
+    test_near_duplicates_just_around_the_bound(spark)
+
+
 def test_near_duplicates_of_an_id_with_two_texts(spark):
     """Links of either text count, and ids that a repeated one has equal texts with are in its component."""
     rng = random.Random(12)
