@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,33 +16,44 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset and everything runs in one
+    process (local tests), a temporary one; other executors couldn't read such a folder, so on a cluster it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(sc, "_docweave_dir", None)
         if path is None:
             path = sc._docweave_dir = "file://" + tempfile.mkdtemp(prefix="docweave-")
     return path.rstrip("/")
 
 
-def durable(df: DataFrame, *partition_by: str) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends here, and a lost
-    executor costs nothing that was done before. The files go when the session ends."""
+    executor costs nothing that was done before. The files go by release(), or else when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, fs = _file(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docweave_path = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keeps Arrow batches of whole texts small, unless the session says how large they are to be."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that durable() wrote, once nothing reads them any more (what came of them is written)."""
+    for df in tables:
+        if (path := getattr(df, "_docweave_path", None)) is not None:
+            target, fs = _file(df.sparkSession, path)
+            fs.delete(target, True)
+            fs.cancelDeleteOnExit(target)
 
 
 #: Largest table that is broadcast; larger ones are joined by shuffle.
@@ -53,17 +65,49 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: A key with more than this share of a table's rows is hot; so a table has 1 / HOT_SHARE hot keys at most.
+HOT_SHARE = 0.001
+
+
+def hot_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """The hot keys of df and their counts (n): 1 / HOT_SHARE rows at most, whatever the input."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return hottest(counts, df.count())
+
+
+def hottest(counts: DataFrame, total: int) -> DataFrame:
+    """Of key counts (column n) that sum to total, those of hot keys."""
+    return durable(counts.where(F.col("n") > HOT_SHARE * total))
+
+
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """many JOIN few on keys, where few has a row for each key (or one for each of a few kinds): rows with the
+    keys in `hot` meet theirs by broadcast, where they lie; all others by a join in which no key stands out."""
+    hot = F.broadcast(hot.select(*keys))
+    return many.join(F.broadcast(few.join(hot, keys, "left_semi")), keys).unionByName(many.join(hot, keys, "left_anti").join(few.join(hot, keys, "left_anti"), keys))
+
+
 Batches = Iterator[pa.RecordBatch]
+#: Rows of a slice of an Arrow batch that is worked on at once.
+SLICE = 500
+
+
+def _sliced(batches: Batches) -> Batches:
+    for batch in batches:
+        for start in range(0, max(batch.num_rows, 1), SLICE):
+            yield batch.slice(start, SLICE)
 
 
 def lean(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """Python workers outlive their tasks: give back at a task's end the memory that it took."""
+    """f gets slices of SLICE rows, so that what it makes of whole texts stays small. (What a batch holds is bounded
+    in rows and bytes by the session, spark.sql.execution.arrow.max...PerBatch.) Python workers outlive their
+    tasks: at a task's end the memory that it took is given back."""
 
     @functools.wraps(f)
     def run(batches: Batches) -> Batches:
         pa.set_memory_pool(pa.system_memory_pool())
         try:
-            yield from f(batches)
+            yield from f(_sliced(batches))
         finally:
             gc.collect()
             try:
@@ -80,5 +124,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text under fixed names, so further columns and clashing names do no harm."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

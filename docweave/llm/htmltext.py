@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import lean, small_batches
+from docweave.llm.common import lean
 
 SAMPLE_PAGES, VARIANTS = 300, 2
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
@@ -411,7 +411,6 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
 
 def extract_text(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row; no shuffle."""
-    small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees of 31 nodes, whatever the input
 
     @lean

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import durable, lean, small_batches, small_side
+from docweave.llm.common import durable, lean, small_side
 
 MIN_WORDS = 50
 
@@ -68,7 +68,6 @@ def shortest_runs(line: np.ndarray, words: np.ndarray, min_words: int) -> tuple[
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, uid (hash of the text), at (line from 0) and n (lines) of each later copy of a run."""
     spark = docs.sparkSession
-    small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     seq = _sequences(docs, id_col, text_col).dropDuplicates(["id", "uid"]).repartitionByRange(parts, "id", "uid").sortWithinPartitions("id", "uid")
     # positions rise with id and line, since the partitions are ranges

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.llm import spans
-from docweave.llm.common import durable
+from docweave.llm.common import durable, hot_keys, hottest, join_hot
 
 #: Possessive and anchored forms of the contract's patterns: the same matches, found in linear time.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,7 +28,8 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ("email", "ip", "card", "phone")
-TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
+#: Classes are spelt out: Java is many times slower with \s inside of a negated class.
+TOKEN = r"(?<!\S)[^ \t\n\x0B\f\r0-9@]*+[0-9@]\S*+"
 _LAST_WORD = r"(?<!\S)(\S++)\s++\z"
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 3, 0.9, 5
 
@@ -43,67 +45,89 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+#: Pattern, check of a match, and what a text must have for any match: found much faster, as it begins with one character.
 CHECKS = {
-    "email": (EMAIL, lambda v: F.lit(True), lambda t: t.contains("@")),
-    "ip": (IP, lambda v: v.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), lambda t: F.lit(True)),
-    "card": (CARD, lambda v: luhn(_digits(v)), lambda t: F.lit(True)),
-    "phone": (PHONE, lambda v: F.length(_digits(v)).between(8, 15), lambda t: t.contains("+")),
+    "email": (EMAIL, lambda v: F.lit(True), r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]"),
+    "ip": (IP, lambda v: v.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
+    "card": (CARD, lambda v: luhn(_digits(v)), r"[0-9](?:[ -]?[0-9]){15}"),
+    "phone": (PHONE, lambda v: F.length(_digits(v)).between(8, 15), r"\+[0-9][ ().0-9-]+[0-9]"),
 }
 
 
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds an array of places (start, end, value) under each kind's name."""
-    for kind, (pattern, check, needs) in CHECKS.items():
-        m = f"dw_{kind}"
-        df = df.withColumn(m, F.when(needs(F.col(text)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        df = df.withColumn(kind, spans.passing(spans.places(text, m, pattern), check)).drop(m)
+    none = F.array().cast("array<string>")
+    # all matches first: that step is compiled as a whole, those with lambdas aren't
+    df = df.withColumns({f"dw_{k}": F.when(F.col(text).rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none) for k, (pattern, _, needs) in CHECKS.items()})
+    for kind, (pattern, check, _) in CHECKS.items():
+        df = spans.with_places(df, text, f"dw_{kind}", pattern, kind).drop(f"dw_{kind}")
+        df = df.withColumn(kind, spans.passing(F.col(kind), check))
     return df
 
 
-def _instances(rows: DataFrame) -> DataFrame:
-    """A row for each token with a digit or an @: its place, the word before it, its shape, and the kind of the
-    base span that it meets, if any."""
-    m = rows.withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).withColumn("between", F.split("text", TOKEN, -1))
-    # the word before stands at the end of the text since the instance before, or is that instance; a text's first has ""
+def _instances() -> Column:
+    """An array of the tokens (column m, their places in `tokens`, the text `between` them) that have a digit or an @:
+    `at` and `to` of the token, place without the punctuation around, and hashes of the identifier and of its
+    pattern, the word before and the shape."""
+    # the word before stands at the end of the text since the token before, or is that token; a text's first has ""
     word = lambda i: F.coalesce(F.nullif(F.regexp_extract(F.get("between", i), _LAST_WORD, 1), F.lit("")), F.get("m", i - 1), F.lit(""))
-    found = F.transform(spans.places("text", "m", TOKEN), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(word(i)).alias("before")))
-    m = m.select("doc_id", "uid", *KINDS, F.explode(found).alias("x")).select("doc_id", "uid", *KINDS, "x.*")
-    meets = lambda k: F.exists(k, lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    seed = F.coalesce(*[F.when(meets(k), F.lit(k)) for k in KINDS])
-    # punctuation around the identifier isn't part of it
-    lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z+]*", 0))
-    core = F.regexp_replace("value", r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
-    m = m.withColumn("seed", seed).withColumn("start", F.col("start") + lead).withColumn("value", core).withColumn("end", F.col("start") + F.length("value"))
-    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F9]+", "a")
-    return m.where("length(value) > 0").select("doc_id", "uid", "start", "end", "value", "seed", F.xxhash64("before", F.left(shape, F.lit(200))).alias("pattern"))
-
-
-def score(instances: DataFrame) -> DataFrame:
-    """pattern and kind of the patterns that are trusted."""
-    edges = durable(instances.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("seed").alias("seed")))
+    core = lambda v: F.regexp_replace(v, r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
+    lead = lambda v: F.length(F.regexp_extract(v, r"^[^0-9A-Za-z+]*", 0))
+    tokens = F.transform("tokens", lambda s, i: F.struct(s["start"].alias("at"), s["end"].alias("to"), (s["start"] + lead(s["value"])).alias("start"), core(s["value"]).alias("value"), F.lower(word(i)).alias("before")))
+    shape = lambda v: F.regexp_replace(F.regexp_replace(v, "[0-9]", "9"), "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F9]+", "a")
+    named = lambda x: F.struct(x["at"], x["to"], x["start"], (x["start"] + F.length(x["value"])).alias("end"), F.xxhash64(x["value"]).alias("instance"), F.xxhash64(x["before"], F.left(shape(x["value"]), F.lit(200))).alias("pattern"))
+    return F.transform(F.filter(tokens, lambda x: F.length(x["value"]) > 0), named)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a number `row` of its own, base places of each kind, and the instances `found`: one pass over the
+    texts, after which no text is needed."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = base_spans(rows.withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))))
+    rows = spans.with_places(rows, "text", "m", TOKEN, "tokens", "between")
+    none = F.array().cast("array<struct<at:int,to:int,start:int,end:int,instance:bigint,pattern:bigint>>")
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), *[spans.bare(k).alias(k) for k in KINDS], F.when(F.size("m") > 0, _instances()).otherwise(none).alias("found"))
+
+
+def instances(rows: DataFrame) -> DataFrame:
+    """A row for each instance of scan()'s rows, with the kind of the base span that its token meets as `seed`."""
+    tokens = rows.select("row", F.explode("found").alias("x")).select("row", (2 * F.col("x.to") - 1).alias("order"), "x", F.lit(None).cast("struct<kind:string,end:int>").alias("span"))
+    tagged = lambda k: F.transform(k, lambda s: F.struct((2 * s["start"]).alias("order"), F.struct(F.lit(k).alias("kind"), s["end"].alias("end")).alias("span")))
+    kinds = F.concat(*[tagged(k) for k in KINDS])
+    based = rows.where(F.size("found") > 0).select("row", F.explode(kinds).alias("k")).select("row", "k.order", F.lit(None).cast(tokens.schema["x"].dataType).alias("x"), "k.span")
+    # spans that start before a token's end come before it; it meets one if some of them ends after its start
+    before = Window.partitionBy("row").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    ends = {f"end_{k}": F.max(F.when(F.col("span.kind") == k, F.col("span.end"))).over(before) for k in KINDS}
+    both = tokens.unionByName(based).withColumns(ends).where("x is not null")
+    seed = F.coalesce(*[F.when(F.col(f"end_{k}") > F.col("x.at"), F.lit(k)) for k in KINDS])
+    return both.select("row", "x.start", "x.end", "x.instance", "x.pattern", seed.alias("seed"))
+
+
+def score(edges: DataFrame) -> DataFrame:
+    """pattern and kind of the patterns that are trusted, from the graph's edges (pattern, instance, seed, n)."""
+    instances, patterns = hot_keys(edges, "instance"), hot_keys(edges, "pattern")
     total = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
-    scores = edges.where("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("s"))
-    trusted = None
+    seeds = edges.where("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("s"))
+    scores, trusted = seeds, None
     for turn in range(ROUNDS):
-        sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("s").alias("s"))
+        sums = join_hot(edges.drop("n"), scores, ["instance"], instances).groupBy("pattern", "kind").agg(F.sum("s").alias("s"))
         confidence = durable(sums.join(total, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("c")).where("c > 0.05"))
         trusted = confidence.where(F.col("c") >= MIN_CONFIDENCE).select("pattern", "kind")
         if turn < ROUNDS - 1:
-            heard = edges.where("seed is null").join(confidence, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("s"))
-            scores = edges.where("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("s")).unionByName(heard)
+            heard = join_hot(edges.drop("n").where("seed is null"), confidence, ["pattern"], patterns)
+            scores = seeds.unionByName(heard.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("s")))
     return trusted
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, an array of base places for each kind, and added places with their kind, of every row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("text"))
-    rows = base_spans(rows)
-    base = durable(rows.select("doc_id", "uid", *KINDS))
-    instances = durable(_instances(rows))
-    trusted = score(instances)
-    more = instances.where("seed is null").join(trusted, "pattern").select("doc_id", "uid", F.struct("start", "end", "kind").alias("x")).distinct()
-    more = more.groupBy(F.col("doc_id").alias("i"), F.col("uid").alias("u")).agg(F.sort_array(F.collect_list("x")).alias("added"))
-    out = base.join(more, base["doc_id"].eqNullSafe(F.col("i")) & (F.col("uid") == F.col("u")), "left")
+    rows = durable(scan(docs, id_col, text_col))
+    known = durable(instances(rows))
+    edges = durable(known.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
+    times = edges.groupBy("pattern").agg(F.sum("n").alias("n"))
+    hot = hottest(times, edges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    more = join_hot(known.where("seed is null"), score(edges), ["pattern"], hot).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("added"))
+    out = rows.drop("found").join(more, "row", "left")
     return out.select("doc_id", *KINDS, F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("added"))
 
 
@@ -112,6 +136,9 @@ def _of_kind(added: str, kind: str) -> Column:
 
 
 def digests(found: DataFrame) -> DataFrame:
+    """The contract's columns; then the counts of added spans of each kind, and of all spans."""
     base = F.concat(*[spans.shown(k, k) for k in KINDS])
     everything = F.concat(*[spans.shown(k, F.array_sort(F.concat(spans.bare(k), spans.bare(_of_kind("added", k))))) for k in KINDS])
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(everything, ",").alias("spans"))
+    more = [F.size(_of_kind("added", k)).cast("long").alias(f"n_added_{k}") for k in KINDS]
+    total = sum((F.size(k) for k in KINDS), F.size("added"))
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(everything, ",").alias("spans"), *more, total.cast("long").alias("n_spans"))

@@ -42,10 +42,12 @@ PATTERNS = {"assign": (ASSIGN, lambda v: F.length(_value(v)) >= 6), "access": (A
 
 
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds an array of places (start, end, value) under each kind's name."""
+    # all matches first: that step is compiled as a whole, those with lambdas aren't
+    df = df.withColumns({f"dw_{k}": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) for k, (pattern, _) in PATTERNS.items()})
     for kind, (pattern, check) in PATTERNS.items():
-        m = f"dw_{kind}"
-        df = df.withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        df = df.withColumn(kind, spans.passing(spans.places(text, m, pattern), check)).drop(m)
+        df = spans.with_places(df, text, f"dw_{kind}", pattern, kind).drop(f"dw_{kind}")
+        df = df.withColumn(kind, spans.passing(F.col(kind), check))
     return df
 
 
@@ -84,8 +86,8 @@ def train(base: DataFrame, docs: DataFrame) -> list[float] | None:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, an array of places for each base kind, and added places, of every row."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    scanned = base_spans(rows).withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    scanned = scanned.withColumn("tokens", spans.places("text", "m", TOKEN))
+    scanned = base_spans(rows.withColumn("m", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))))
+    scanned = spans.with_places(scanned, "text", "m", TOKEN, "tokens")
     clear = lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     held = durable(scanned.select("doc_id", *KINDS, F.filter("tokens", clear).alias("tokens")))
     table = train(held, rows)

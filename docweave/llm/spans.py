@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 256
@@ -28,13 +28,16 @@ def running_ends(lengths: Column) -> Column:
     return F.aggregate(blocks, empty(F.lit(0)), outer, lambda acc: acc["out"])
 
 
-def places(text: str, matches: str, pattern: str) -> Column:
-    """start, end and the match itself for each of the column `matches` (regexp_extract_all of the pattern)."""
-    between = F.split(F.col(text), pattern, -1)
-    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), F.col(matches), lambda b, m: F.length(b) + F.length(m))
-    found = F.zip_with(running_ends(lengths), F.col(matches), lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+def with_places(df: DataFrame, text: str, matches: str, pattern: str, out: str, between: str | None = None) -> DataFrame:
+    """Adds under `out` start, end and the match itself for each of the column `matches` (regexp_extract_all of the
+    pattern); under `between`, if named, the texts around the matches (null without a match). What is used more
+    than once is a column of its own, so the text is split once."""
+    gaps, lengths = between or f"dw_{out}_gaps", f"dw_{out}_lengths"
+    df = df.withColumn(gaps, F.when(F.size(matches) > 0, F.split(text, pattern, -1)))
+    df = df.withColumn(lengths, F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.col(matches), lambda b, m: F.length(b) + F.length(m)))
+    found = F.zip_with(running_ends(F.col(lengths)), F.col(matches), lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(matches) > 0, found).otherwise(none)
+    return df.withColumn(out, F.when(F.size(matches) > 0, found).otherwise(none)).drop(lengths, *([] if between else [gaps]))
 
 
 def shown(kind: str, spans: str | Column) -> Column:
