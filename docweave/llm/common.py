@@ -60,9 +60,9 @@ def release(*tables: DataFrame | None) -> None:
 BROADCAST_BYTES = 16_000_000
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df (a table already written), marked for broadcast if its counted rows keep within BROADCAST_BYTES."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small_side(df: DataFrame, size: int | None) -> DataFrame:
+    """df, marked for broadcast if its `size` in bytes (of all rows) keeps within BROADCAST_BYTES."""
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 #: A key with more than this share of a table's rows is hot; so a table has 1 / HOT_SHARE hot keys at most.
@@ -87,6 +87,24 @@ def join_hot(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame) -
     return many.join(F.broadcast(few.join(hot, keys, "left_semi")), keys).unionByName(many.join(hot, keys, "left_anti").join(few.join(hot, keys, "left_anti"), keys))
 
 
+def join_spread(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """As join_hot, for rows of `few` too large to broadcast: a hot key's rows are dealt over as many parts as its
+    count (n in `hot`) holds hot shares, by the column `by`, and its row of `few` is copied to each part."""
+    parts = hot.crossJoin(F.broadcast(hot.agg(F.min("n").alias("least")))).select(F.col(key).alias("dw_k"), F.ceil(2 * F.col("n") / F.col("least")).cast("int").alias("dw_parts"))
+    dealt = lambda df: df.join(F.broadcast(parts), df[key] == parts["dw_k"], "left").drop("dw_k")
+    n = F.coalesce("dw_parts", F.lit(1))
+    many = dealt(many).withColumn("dw_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("dw_parts")
+    few = dealt(few).withColumn("dw_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("dw_parts")
+    return many.join(few, [key, "dw_part"]).drop("dw_part")
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds the bytes of an Arrow batch of whole texts, for this session, unless it has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).removesuffix("b") == str(64 << 20):
+        spark.conf.set(key, size)
+
+
 Batches = Iterator[pa.RecordBatch]
 #: Rows of a slice of an Arrow batch that is worked on at once.
 SLICE = 500
@@ -124,4 +142,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text under fixed names, so further columns and clashing names do no harm."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -1,10 +1,11 @@
 """Operator 2: line dedup with a suffix array built by distributed prefix doubling.
 
 All documents' lines, in the order of doc_id and line, are one sequence of line ids. Doubling k ranks every
-suffix by its first 2^k lines: a rank is the first position of its class, so equal ranks are the array's
-equal buckets; suffixes that stand alone in their bucket are settled and leave. The suffixes that share L
-lines (an interval of common prefixes L long) are those with the same two ranks of 2^k <= L lines, at the
-run's start and 2^k before its end. In each interval the first run stays, later copies are deleted.
+suffix by its first 2^k lines: the classes of equal ones are sorted by their pairs of ranks, by ranges, and
+numbered in that order, so ranks stand as in the suffix array; suffixes that stand alone in their class are
+settled and leave. The suffixes that share L lines (an interval of common prefixes L long) are those with the
+same two ranks of 2^k <= L lines, at the run's start and 2^k before its end. In each interval the first run
+stays, later copies are deleted.
 
 A run counts if it lies in one document and has MIN_WORDS words. It is enough to look at the shortest such
 runs that start, and that end, at each line: every longer repeated run is a union of those.
@@ -12,7 +13,7 @@ runs that start, and that end, at each line: every longer repeated run is a unio
 Defined cases: null text has no lines and stays as it is; rows repeated whole (id and text) are one copy
 and share their result; rows with null id come first; text that loses nothing is returned unchanged,
 whatever its line ends ("\\n" parts lines). A hot line or a huge group of copies is counted with partial
-aggregation and joined back with plain equi-joins, which adaptive execution may split.
+aggregation; what is known of a class with over a thousandth of the rows is sent to them by broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import durable, lean, small_side
+from docweave.llm.common import durable, hottest, join_hot, lean, small_batches, small_side
 
 MIN_WORDS = 50
 
@@ -65,9 +66,16 @@ def shortest_runs(line: np.ndarray, words: np.ndarray, min_words: int) -> tuple[
     return pairs[:, 0], pairs[:, 1] - pairs[:, 0]
 
 
+def _ordered(classes: DataFrame, *keys: str) -> DataFrame:
+    """Classes of suffixes with their `rank`: numbers that rise in the order of the keys, so a level's classes stand
+    as in the suffix array. Whole classes are sorted, by ranges; so a hot one is one row."""
+    return durable(classes.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()))
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, uid (hash of the text), at (line from 0) and n (lines) of each later copy of a run."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     seq = _sequences(docs, id_col, text_col).dropDuplicates(["id", "uid"]).repartitionByRange(parts, "id", "uid").sortWithinPartitions("id", "uid")
     # positions rise with id and line, since the partitions are ranges
@@ -75,8 +83,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.select(F.monotonically_increasing_id().alias("pos"), "id", "uid", "line", F.col("own") - F.col("line"), F.col("x.lines").alias("key"), F.col("x.words").alias("words"))
     lines = durable(lines.toDF("pos", "id", "uid", "line", "left", "key", "words"))
 
-    classes = lines.groupBy("key").agg(F.min("pos").alias("rank"), F.count("*").alias("c")).where("c > 1").drop("c")
-    active = durable(lines.join(classes, "key").drop("key"))
+    classes = _ordered(lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    active = durable(join_hot(lines, classes.drop("n"), ["key"], hottest(classes, lines.count())).drop("key"))
 
     @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +135,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if (1 << k) > longest:
             break
         pairs = durable(ranks.where(F.col("left") >= 2 * span).select("pos", "left", F.col("rank").alias("r1"), (F.col("pos") + span).alias("pos2")).join(b, "pos2").drop("pos2"))
-        classes = pairs.groupBy("r1", "r2").agg(F.min("pos").alias("rank"), F.count("*").alias("c")).where("c > 1").drop("c")
-        ranks = durable(pairs.join(classes, ["r1", "r2"]).select("pos", "left", "rank"))
+        classes = _ordered(pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1"), "r1", "r2")
+        ranks = durable(join_hot(pairs, classes.drop("n"), ["r1", "r2"], hottest(classes, pairs.count())).select("pos", "left", "rank"))
     if found is None:
         return wanted.select("id", "uid", F.col("line").alias("at"), "n")
     found = durable(found)
-    intervals = found.groupBy("r1", "r2", "n").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return found.join(intervals, ["r1", "r2", "n"]).where("pos > first").select("id", "uid", F.col("line").alias("at"), "n")
+    # the suffixes of one interval of common prefixes, n lines long, have both ranks in common
+    keys = ["r1", "r2", "n"]
+    intervals = durable(found.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1"))
+    hot = hottest(intervals.select(*keys[:2], F.col("n").alias("long"), F.col("c").alias("n")), found.count()).select("r1", "r2", F.col("long").alias("n"))
+    return join_hot(found, intervals.drop("c"), keys, hot).where("pos > first").select("id", "uid", F.col("line").alias("at"), "n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -142,8 +153,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = repeated_runs(docs, id_col, text_col, min_words)
     lost = runs.select("id", "uid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line"))
     lost = lost.groupBy("id", "uid").agg(F.collect_set("line").alias("dw_lost")).select(F.col("id").alias("dw_id"), F.col("uid").alias("dw_uid"), "dw_lost")
-    # lines of a document at most; while that is a small table, no text is shuffled
-    lost = small_side(durable(lost), 200)
+    # while the lost lines' numbers are few, no text is shuffled
+    lost = durable(lost)
+    lost = small_side(lost, lost.agg(F.sum(4 * F.size("dw_lost") + 40)).first()[0])
     joined = docs.join(lost, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("dw_id")) & (F.xxhash64(text_col) == F.col("dw_uid")), "left")
 
     @lean
