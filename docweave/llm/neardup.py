@@ -18,6 +18,7 @@ null id have no component and aren't kept as a copy of anything (component null,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import durable, lean, small_side, text_rows
+from docweave.llm.common import durable, hot_keys, hottest, join_hot, join_spread, lean, release, small_side, text_rows
 
 SHINGLE, HALVES, HALF_ROWS = 5, 14, 2
 THRESHOLD_PERCENT = 75
 #: Of 56 minhashes, pairs with fewer in common are put off: not read in full in the first two turns, but only in the last.
 AGREE = 27
+#: Ratio of the sizes at which a class of sizes starts and ends, in the search by rare shingles.
+SIZE_STEP = 1.03
 _WORDS = 200_000
 _M = 2 * HALVES * HALF_ROWS
 _RNG = np.random.default_rng(20240229)
@@ -122,7 +125,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
             at = pa.array([i for i, _ in keep], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([x for _, x in keep], pa.binary())], ["rep", "set_key", "items"])
 
-    rows = text_rows(docs, id_col, text_col).join(small_side(wanted.select(F.col("rep").alias("doc_id"), "set_key"), 100), "doc_id")
+    rows = text_rows(docs, id_col, text_col).join(small_side(wanted.select(F.col("rep").alias("doc_id"), "set_key"), 100 * wanted.count()), "doc_id")
     return rows.mapInArrow(run, "rep bigint, set_key binary, items binary").dropDuplicates(["rep", "set_key"]).drop("set_key")
 
 
@@ -143,8 +146,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    # the repeated side comes last, so each set travels once to meet its pairs
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    # the repeated side comes last, so each set travels once to meet its pairs; a leader's set goes to its members' tasks
+    return join_spread(pairs.join(left, "a"), right, "b", hot_keys(pairs, "b"), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _rare_pairs(members: DataFrame) -> DataFrame:
@@ -168,23 +171,34 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     # what can still be shared from a shingle on, it included
     rare = rare.select("rep", "comp", "n", F.size("own").alias("m"), F.posexplode(F.slice("own", 1, F.col("take"))).alias("at", "x"))
     rare = durable(rare.select("rep", "comp", "n", "x.s", (F.col("m") - F.col("at")).alias("rest")))
-    other = rare.select(F.col("rep").alias("b"), F.col("comp").alias("c"), "s", F.col("n").alias("k"), F.col("rest").alias("left"))
+    # a pair shares at most the lesser rest, so that (n + k) * 75 <= 175 * rest bounds the partner's size from above, as
+    # 0.75 does from below: the larger looks only into these classes of size, SIZE_STEP wide
+    size = lambda c: F.floor(F.log(c) / math.log(SIZE_STEP)).cast("int")
+    most = F.least(F.col("n"), F.floor((100 + THRESHOLD_PERCENT) * F.col("rest") / THRESHOLD_PERCENT - F.col("n")))
+    fewest = F.ceil(F.col("n") * THRESHOLD_PERCENT / 100)
+    probe = rare.where(most >= fewest).withColumn("g", F.explode(F.sequence(size(fewest), size(most))))
+    other = rare.select(F.col("rep").alias("b"), F.col("comp").alias("c"), "s", F.col("n").alias("k"), F.col("rest").alias("left"), size(F.col("n")).alias("g"))
     least = (100 + THRESHOLD_PERCENT) * F.least("rest", "left") >= THRESHOLD_PERCENT * (F.col("n") + F.col("k"))
-    return rare.join(other, (rare["s"] == other["s"]) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("c")) & least).select(F.col("rep").alias("a"), "b").distinct()
+    once = (F.col("k") < F.col("n")) | (F.col("k") == F.col("n")) & (F.col("rep") < F.col("b"))
+    found = probe.join(other, ["s", "g"]).where(once & (F.col("comp") != F.col("c")) & (F.col("k") >= fewest) & least)
+    return found.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the least node reachable) for the nodes of `edges` (a, b): large and small stars by turns."""
     e = durable(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    size, before = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        e = durable(small)
+        least = durable(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        # a star's hub is a hot key
+        large = durable(join_hot(both, least.drop("n"), ["u"], hottest(least, 2 * size)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        fewer = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_hot(large, fewer.drop("n"), ["u"], hottest(fewer, large.count())).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        old, e = e, durable(small)
+        release(old, least, large, fewer)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        size = now[0]
         if now == before:
             break
         before = now
@@ -212,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def likely(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-        return pairs.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").where(agree >= AGREE).select("a", "b").distinct()
+        pairs = durable(pairs)
+        return join_hot(pairs, sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), ["b"], hot_keys(pairs, "b")).where(agree >= AGREE).select("a", "b").distinct()
 
     sets = None
     links = durable(_same_ids(sigs, classes))
@@ -228,11 +243,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = durable(entries.select("rep").distinct().join(classes.select("rep", "set_key"), "rep"))
             sets = durable(_sets(docs, members, id_col, text_col))
         if turn == 0:
-            leader = own.groupBy("key").agg(F.min("rep").alias("b"))
-            pairs = likely(own.join(leader, "key").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
+            leader = durable(own.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")))
+            hot = hottest(leader, own.count())
+            pairs = likely(join_hot(own, leader.drop("n"), ["key"], hot).where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
         elif turn == 1:
-            leader = own.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep")).alias("l")).select("key", F.col("l.rep").alias("b"), F.col("l.comp").alias("c"))
-            pairs = likely(own.join(leader, "key").where("rep != b and comp != c").select(F.col("rep").alias("a"), "b").distinct())
+            leader = own.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep")).alias("l"), F.count("*").alias("n"))
+            leader = durable(leader.select("key", F.col("l.rep").alias("b"), F.col("l.comp").alias("c"), "n"))
+            hot = hottest(leader, own.count())
+            pairs = likely(join_hot(own, leader.drop("n"), ["key"], hot).where("rep != b and comp != c").select(F.col("rep").alias("a"), "b").distinct())
         else:
             pairs = _rare_pairs(sets.join(own.select("rep", "comp").distinct(), "rep"))
         pairs = durable(pairs)

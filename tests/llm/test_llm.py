@@ -501,3 +501,25 @@ def test_against_sql(spark, name):
     columns = [c[0] for c in cur.description]
     got = queries.queries()[name](spark, SF).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall())
+
+
+def test_near_duplicates_of_template_pages(spark):
+    """Pages that share most of their text, some just below the bound and some above: no pair is lost, none is made up."""
+    rng = random.Random(21)
+    shared, rows = [_words(rng, 60) for _ in range(8)], []
+    for i in range(400):
+        rows.append((i, shared[i % 8] + " " + _words(rng, 6 + i // 8 % 10)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == _brute_components(rows)
+
+
+def test_hot_keys_go_apart(spark):
+    from docweave.llm import common
+
+    many = spark.range(3000).selectExpr("id as a", "if(id < 2000, 7, id) as b")
+    few = spark.range(3000).selectExpr("id as b", "id * 2 as x")
+    hot = common.hot_keys(many, "b")
+    assert [tuple(r) for r in hot.collect()] == [(7, 2000)]
+    want = sorted((i, 7 if i < 2000 else i, 14 if i < 2000 else 2 * i) for i in range(3000))
+    for out in (common.join_hot(many, few, ["b"], hot), common.join_spread(many, few, "b", hot, "a"), common.join_spread(many, few, "b", hot.limit(0), "a")):
+        assert sorted((r["a"], r["b"], r["x"]) for r in out.collect()) == want
