@@ -5,7 +5,7 @@ taken for a mixture: expectation-maximisation estimates the languages' shares fr
 and the set of languages is the one of greatest penalised (BIC) likelihood. The model has BUCKETS figures
 for each language and is all that is broadcast.
 
-Defined cases: null, empty or letterless text is `und` with score 0; rows without a language or id rule are
+Defined cases: null, empty or letterless text is `und` with score 0; more than MAX_LANGUAGES languages are an error; rows without a language or id rule are
 not trained on; without any training document every row is `und`; repeated rows each count and each get a result.
 """
 
@@ -25,7 +25,14 @@ BUCKETS = 1 << 15
 ROUNDS = 12
 UND = "und"
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: More languages than these are refused: the model is BUCKETS figures for each, in every worker.
+MAX_LANGUAGES = 500
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; signs such as \u00bd and \u00b2 are numbers."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -54,6 +61,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     got = rows.where("lang is not null and text is not null").mapInArrow(count, "lang string, bucket int, n bigint")
     got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    if got.select("lang").distinct().count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # at most BUCKETS rows for each language
     sums = got.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect()
     langs = sorted(r["lang"] for r in sums)
@@ -81,14 +90,13 @@ def infer(log_p: np.ndarray, text: bytes) -> tuple[int, float, np.ndarray]:
     shares, _ = mixture(p, n) if p.shape[1] > 1 else (np.ones(1), 0.0)
     order = np.argsort(-shares, kind="stable")
     best, chosen, penalty = -np.inf, (np.ones(1), order[:1]), 0.5 * np.log(max(2.0, n.sum()))
+    total = n.sum()
     for k in range(1, len(order) + 1):
-        if k > 1 and shares[order[k - 1]] < 0.01:
+        if k > 1 and shares[order[k - 1]] * total < 0.5:  # not a trigram's worth
             break
         own, score = mixture(p[:, order[:k]], n) if k > 1 else (np.ones(1), float(n @ np.log(np.maximum(p[:, order[0]], 1e-300))))
         if score - k * penalty > best:
             best, chosen = score - k * penalty, (own, order[:k])
-        else:
-            break
     out = np.zeros(p.shape[1])
     out[chosen[1]] = chosen[0]
     top = int(np.argmax(out))
@@ -103,7 +111,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         langs, log_p = held.value
         preds, scores, sets = [], [], []
         for text in texts.to_pylist():
-            if not langs or not text or not _LETTER.search(text):
+            if not langs or not text or not has_letter(text):
                 preds.append(UND), scores.append(0.0), sets.append([])
                 continue
             top, score, shares = infer(log_p, text.encode())
