@@ -210,6 +210,31 @@ def test_decontamination_broadcast_and_joined(spark, docs, none, limit):
     assert decontaminate.scan(docs, bench.limit(0), broadcast_chars=limit).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_index_is_bounded():
+    """A benchmark of random words, at the bound of what is broadcast, keeps below 300 MB (here a tenth of it)."""
+    rng = random.Random(3)
+    text = " ".join(f"{rng.getrandbits(28):x}" for _ in range(decontaminate.BROADCAST_CHARS // 80))
+    index = decontaminate.WindowIndex([(1, text), (2, None)])
+    assert 10 * index.size() < 300e6
+    tokens = decontaminate.words(text)[500:530]
+    hit, found = index.scan([b"a", *tokens, b"b"], decontaminate._Words())
+    assert hit.tolist() == [False, *[True] * 30, False] and found == {0}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_CHARS, 0])
+def test_decontamination_of_repeated_ids(spark, limit):
+    """Each row goes or stays by its own text; clashing columns and nulls do no harm."""
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
+    rows = [(1, "One two, three four!", "k"), (1, "clean text", "l"), (1, "clean text", "l"), (None, "one two three four", "m"), (2, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    out = decontaminate.drop_contaminated(docs, bench, broadcast_chars=limit)
+    assert out.columns == docs.columns and sorted(r["key"] for r in out.collect()) == ["l", "l", "n"]
+
+
+def test_language_of_numeric_signs():
+    assert not any(langid.has_letter(t) for t in ("\u00bd \u00b2", "12 _ .", "\u2460", "")) and langid.has_letter("\u00bd \u00e9")
+
+
 def test_language_mixture(spark, none):
     rng = random.Random(2)
     lexicon = {"aa": "der die und nicht ein zu ist von mit sich".split(), "bb": "the of and to in that it was for on".split(), "cc": "el la de que los se un por con para".split()}
@@ -457,7 +482,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(_texts())]
     item = _words(rng, 40)
-    rows += [(700, item, "en", "s", 1), (701, _words(rng, 2000) + " " + " ".join(item.split()[:13]), "en", "s", 1)]
+    rows += [(800, "\u00bd \u00b2", "en", "s", 1), (700, item, "en", "s", 1), (701, _words(rng, 2000) + " " + " ".join(item.split()[:13]), "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
@@ -476,6 +501,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got == {i: _sha(lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in kept}
 
 
+def test_pipeline_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    x, y, z = (_words(rng, 60) for _ in range(3))
+    rows = [(1, x, "a"), (1, x, "a"), (2, x + " end", "b"), (3, y, "c"), (3, z, "d"), (None, x, "e"), (4, None, "f"), (5, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, dw_row string")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    got = out.collect()
+    assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in got) == ["1", "3", "4", "5", "None"]
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint"), SF).count() == 0, name
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
