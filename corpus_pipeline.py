@@ -31,18 +31,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dw_id")).distinct()
-    gone = small_side(durable(gone), 50)
-    return docs.join(gone, docs["doc_id"] == gone["dw_id"], "left_anti")
+    """One document of each group of near duplicates stays, the one with the least id; of rows that repeat its id,
+    which are one group, the one whose text hashes least. Rows without an id stay."""
+    gone = durable(neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dw_id")).distinct())
+    left = docs.join(small_side(gone, 50 * gone.count()), docs["doc_id"] == F.col("dw_id"), "left_anti")
+    repeated = durable(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("dw_id")).agg(F.count("*").alias("dw_n")).where("dw_n > 1").drop("dw_n"))
+    if repeated.isEmpty():
+        return left
+    repeated = small_side(repeated, 50 * repeated.count())
+    again = left["doc_id"] == F.col("dw_id")
+    one = left.join(repeated, again, "left_semi").groupBy(F.col("doc_id").alias("dw_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("dw_row"))
+    return left.join(repeated, again, "left_anti").unionByName(one.select("dw_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule hits go."""
-    hits = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    gone = hits.where("contaminated").select(F.col("doc_id").alias("dw_id")).distinct()
-    gone = small_side(durable(gone), 50)
-    return docs.join(gone, docs["doc_id"] == gone["dw_id"], "left_anti")
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
