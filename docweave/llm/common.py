@@ -67,30 +67,37 @@ def small_side(df: DataFrame, size: int | None) -> DataFrame:
 
 #: A key with more than this share of a table's rows is hot; so a table has 1 / HOT_SHARE hot keys at most.
 HOT_SHARE = 0.001
+#: Below this, a share of a table's rows is no burden for one task.
+HOT_ROWS = 50
 
 
-def hot_keys(df: DataFrame, *keys: str) -> DataFrame:
-    """The hot keys of df and their counts (n): 1 / HOT_SHARE rows at most, whatever the input."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return hottest(counts, df.count())
+def hot_keys(df: DataFrame, *keys: str) -> DataFrame | None:
+    """The hot keys of df and their counts (n): 1 / HOT_SHARE rows at most, whatever the input. None if there is none."""
+    return hottest(df.groupBy(*keys).agg(F.count("*").alias("n")), df.count())
 
 
-def hottest(counts: DataFrame, total: int) -> DataFrame:
-    """Of key counts (column n) that sum to total, those of hot keys."""
-    return durable(counts.where(F.col("n") > HOT_SHARE * total))
+def hottest(counts: DataFrame, total: int) -> DataFrame | None:
+    """Of key counts (column n) that sum to total, those of hot keys; None if there is none."""
+    rows = counts.where(F.col("n") > HOT_SHARE * total).collect() if total * HOT_SHARE > HOT_ROWS else []
+    return counts.sparkSession.createDataFrame(rows, counts.schema) if rows else None
 
 
-def join_hot(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
     """many JOIN few on keys, where few has a row for each key (or one for each of a few kinds): rows with the
     keys in `hot` meet theirs by broadcast, where they lie; all others by a join in which no key stands out."""
+    if hot is None:
+        return many.join(few, keys)
     hot = F.broadcast(hot.select(*keys))
     return many.join(F.broadcast(few.join(hot, keys, "left_semi")), keys).unionByName(many.join(hot, keys, "left_anti").join(few.join(hot, keys, "left_anti"), keys))
 
 
-def join_spread(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+def join_spread(many: DataFrame, few: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
     """As join_hot, for rows of `few` too large to broadcast: a hot key's rows are dealt over as many parts as its
     count (n in `hot`) holds hot shares, by the column `by`, and its row of `few` is copied to each part."""
-    parts = hot.crossJoin(F.broadcast(hot.agg(F.min("n").alias("least")))).select(F.col(key).alias("dw_k"), F.ceil(2 * F.col("n") / F.col("least")).cast("int").alias("dw_parts"))
+    if hot is None:
+        return many.join(few, key)
+    least = hot.agg(F.min("n")).first()[0]
+    parts = hot.select(F.col(key).alias("dw_k"), F.ceil(2 * F.col("n") / least).cast("int").alias("dw_parts"))
     dealt = lambda df: df.join(F.broadcast(parts), df[key] == parts["dw_k"], "left").drop("dw_k")
     n = F.coalesce("dw_parts", F.lit(1))
     many = dealt(many).withColumn("dw_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("dw_parts")

@@ -3,9 +3,9 @@
 A page is read into a tree of elements. Each element has features: own and ancestor tag, words of its id,
 class and role attributes that tell content from furniture, depth, text, link and markup densities of its
 subtree, position and likeness among siblings. Boosted regression trees (logistic loss, trained here) give
-each element the probability that its text belongs to the article. Decoding goes from the root down: an
-element takes the sum of its own and its parent's log-odds, weighted; what is decided to be furniture can't
-hold content, so no descendant contradicts its ancestor.
+each element the log-odds that its text belongs to the article. Decoding goes from the root down (see decode);
+elements that are never article text by the language (nav, form, footer, aside, dialog, menu) are furniture
+whatever the trees say; what is decided to be furniture can't hold content, so no descendant contradicts it.
 
 Labels are weak: in a sample of SAMPLE_PAGES pages at most, elements under <article> or <main> are content,
 and everything else is not. As one site's mark-up teaches one rule, each sample page is rendered anew in
@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from docweave.llm.common import lean, small_batches
 
 SAMPLE_PAGES, VARIANTS = 300, 2
+#: Blocks of a sample page that its random layouts are made of, for training alone.
+TRAIN_BLOCKS = 60
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+PARENT_WEIGHT = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
@@ -81,6 +85,7 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
     """As parse; and where HELD elements start whose end tag is missing. Those in `loose` end at the next block."""
     nodes, open_, out, at = [Node("#root", "", -1, 0)], [0], [], 0
     tags = ["#root"]  # of open_; inside a HELD element all stand for that one
+    live = Counter()  # of tags
     held, missing = [], set()  # open HELD elements: their places in open_ and in the page
     fresh, body = True, 0
     end = len(page)
@@ -95,6 +100,7 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
         return body
 
     def cut(k: int, own: bool = False) -> None:
+        live.subtract(tags[k:])
         del open_[k:], tags[k:]
         while held and held[-1][0] >= k:
             level, start = held.pop()
@@ -120,7 +126,7 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
         if tag == "br" and not held:
             out.append((bodied() if bare else open_[-1], " ", False))
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1 if live[tag] > 0 else 0, 0, -1):
                 if tags[k] == tag:
                     cut(k, own=True)
                     break
@@ -157,6 +163,7 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
         elif tag not in VOID and not empty:
             open_.append(open_[-1] if held else len(nodes) - 1)
             tags.append(tag)
+            live[tag] += 1
             if tag in HELD:
                 held.append((len(open_) - 1, m.start()))
     cut(1)
@@ -166,9 +173,11 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Node], list[tuple[int,
 def blocks(nodes: list[Node], texts: list[tuple[int, str, bool]]) -> list[tuple[int, str]]:
     """Text blocks in page order, each with the element that holds it: the nearest that isn't inline."""
     out: list[tuple[int, list[str]]] = []
+    holder = [0] * len(nodes)
+    for i, n in enumerate(nodes):
+        holder[i] = holder[n.parent] if n.tag in INLINE and n.parent >= 0 else i
     for node, text, fresh in texts:
-        while nodes[node].tag in INLINE and nodes[node].parent >= 0:
-            node = nodes[node].parent
+        node = holder[node]
         if fresh or not out or out[-1][0] != node:
             out.append((node, []))
         out[-1][1].append(text)
@@ -178,23 +187,19 @@ def blocks(nodes: list[Node], texts: list[tuple[int, str, bool]]) -> list[tuple[
 
 def features(nodes: list[Node], found: list[tuple[int, str]], texts: list[tuple[int, str, bool]]) -> np.ndarray:
     """A row for each element."""
+    link, alike = [-1] * len(nodes), Counter((n.parent, n.tag) for n in nodes)
+    for i, n in enumerate(nodes):
+        link[i] = i if n.tag == "a" else link[n.parent] if i else -1
     for node, text, _ in texts:
-        k = node
-        while k >= 0:
-            if nodes[k].tag == "a":
-                own = len(text)
-                while k >= 0:
-                    nodes[k].linked += own
-                    k = nodes[k].parent
-                break
-            k = nodes[k].parent
+        if link[node] >= 0:
+            nodes[link[node]].linked += len(text)
     for node, text in found:
         nodes[node].chars += len(text)
         nodes[node].blocks += 1
         nodes[node].stops += text.count(".") + text.count(",")
     for i in range(len(nodes) - 1, 0, -1):
         n, p = nodes[i], nodes[nodes[i].parent]
-        p.chars, p.nodes, p.blocks, p.stops = p.chars + n.chars, p.nodes + n.nodes, p.blocks + n.blocks, p.stops + n.stops
+        p.chars, p.nodes, p.blocks, p.stops, p.linked = p.chars + n.chars, p.nodes + n.nodes, p.blocks + n.blocks, p.stops + n.stops, p.linked + n.linked
     total = max(1, nodes[0].chars)
     rows = np.zeros((len(nodes), len(TAGS) + 25), np.float32)
     above: list[tuple] = []
@@ -207,7 +212,7 @@ def features(nodes: list[Node], found: list[tuple[int, str]], texts: list[tuple[
         above.append(here)
         mates = nodes[n.parent].kids if i else [0]
         p = nodes[n.parent] if i else n
-        same = sum(nodes[k].tag == n.tag for k in mates[:50])
+        same = alike[n.parent, n.tag]
         rows[i, : len(TAGS)] = [n.tag == t for t in TAGS]
         rows[i, len(TAGS) :] = (
             n.depth, min(good, 3), min(bad, 3), min(comment, 1), min(ad, 1), min(notice, 1), *here, n.chars, n.chars / total, n.chars / n.nodes, n.linked / (n.chars + 1), n.stops / (n.chars + 1),
@@ -277,9 +282,10 @@ class Boosted:
 
 
 def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
-    """Whether each element's own text is article text, from the root down. Elements are taken as they come:
-    below one that is surely furniture nothing is content; below one that is content, only a sure refusal counts."""
+    """Whether each element's own text is article text, from the root down: an element goes by its own log-odds and
+    PARENT_WEIGHT of its parent's. Below furniture nothing is content; below content, only a sure refusal counts."""
     state = np.zeros(len(nodes), int)  # 1 content, -1 furniture, 0 open
+    both = score + PARENT_WEIGHT * np.clip(score[[max(n.parent, 0) for n in nodes]], -6, 6)
     for i in range(1, len(nodes)):
         n = nodes[i]
         up = state[n.parent]
@@ -287,10 +293,8 @@ def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
             state[i] = -1
         elif up > 0:
             state[i] = -1 if score[i] < -2.0 and n.tag not in INLINE else 1
-        elif score[i] > 0:
+        elif both[i] > 0:
             state[i] = 1
-        elif score[i] < -1.0 and n.words and (BAD.search(n.words) and not GOOD.search(n.words)):
-            state[i] = -1
     return state > 0
 
 
@@ -377,7 +381,7 @@ def train(pages: list[str], seed: int = 7) -> Boosted:
     xs, ys = [], []
     for page in pages:
         nodes, texts = parse(page)
-        own = [t for n, t in blocks(nodes, texts) if _under(nodes, n)][:60]
+        own = [t for n, t in blocks(nodes, texts) if _under(nodes, n)][:TRAIN_BLOCKS]
         for _ in range(VARIANTS if own else 0):
             x, y = labelled(variant(own, rng))
             xs.append(x), ys.append(y)
@@ -403,10 +407,15 @@ def _under(nodes: list[Node], i: int) -> bool:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Boosted:
     """The model of a sample: the pages whose ids hash least, SAMPLE_PAGES at most, each up to 200,000 characters."""
-    rows = pages.where(F.length(html_col).between(1, 200_000)).select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{id_col}`").alias("id"))
-    ids = [r["id"] for r in rows.orderBy("h", "id").limit(sample).collect()]
-    got = pages.where(F.col(f"`{id_col}`").isin(ids)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html")).limit(2 * sample).collect() if ids else []
-    return train([r["html"] for r in sorted(got, key=lambda r: (r["id"] is None, r["id"], r["html"] or "")) if r["html"]])
+    page, key = F.col(f"`{id_col}`"), F.col(f"`{html_col}`").cast("string")
+    rows = pages.where(F.length(key).between(1, 200_000)).select(page.cast("long").alias("id"), key.alias("html"), F.xxhash64(page).alias("h"), F.xxhash64(key).alias("k"))
+    chosen = rows.select("id", "h", "k").orderBy("h", "id", "k").limit(sample).collect()
+    if not chosen:
+        return train([])
+    known = F.broadcast(pages.sparkSession.createDataFrame(chosen, "id bigint, h bigint, k bigint").distinct().withColumnRenamed("id", "i"))
+    # of rows repeated whole, one
+    got = rows.join(known, ["h", "k"]).where(F.col("id").eqNullSafe(F.col("i"))).groupBy("h", "id", "k").agg(F.first("html").alias("html")).orderBy("h", "id", "k")
+    return train([r["html"] for r in got.collect()])
 
 
 def extract_text(pages: DataFrame, model: Boosted, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -143,7 +143,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the suffixes of one interval of common prefixes, n lines long, have both ranks in common
     keys = ["r1", "r2", "n"]
     intervals = durable(found.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1"))
-    hot = hottest(intervals.select(*keys[:2], F.col("n").alias("long"), F.col("c").alias("n")), found.count()).select("r1", "r2", F.col("long").alias("n"))
+    hot = hottest(intervals.select("r1", "r2", F.col("n").alias("long"), F.col("c").alias("n")), found.count())
+    hot = hot and hot.select("r1", "r2", F.col("long").alias("n"))
     return join_hot(found, intervals.drop("c"), keys, hot).where("pos > first").select("id", "uid", F.col("line").alias("at"), "n")
 
 

@@ -457,6 +457,25 @@ def test_html_text_outside_elements(spark):
     assert [(nodes[n].tag, t) for n, t in htmltext.blocks(nodes, texts)] == [("p", "one"), ("body", "two")] and sum(n.tag == "body" for n in nodes) == 1
 
 
+def test_html_deep_and_wide_pages_take_linear_time():
+    """A third of a MB of nested or unclosed mark-up takes seconds, and nothing of the text is lost."""
+    import time
+
+    for page in ("<b>x" * 60_000, "<div>x" * 50_000, "<p>x</p>" * 40_000, "<a href=y>x" * 30_000, "<ul>" * 30_000 + "</i></ol>" * 30_000 + "x", "<i></b>" * 40_000):
+        start = time.time()
+        nodes, texts = htmltext.parse(page)
+        found = htmltext.blocks(nodes, texts)
+        assert len(htmltext.features(nodes, found, texts)) == len(nodes)
+        assert sum(t.count("x") for _, t in found) == page.count("x") and time.time() - start < 60
+
+
+def test_html_sample_is_the_same_whatever_the_order(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    twice = pages.unionByName(pages.withColumn("html", F.concat("html", F.lit("<p>more</p>")))).withColumn("words", F.lit("w"))
+    a, b = (htmltext.fit(x, sample=20) for x in (twice, twice.orderBy(F.desc("html")).repartition(5)))
+    assert all((x == y).all() for s, t in zip(a.trees, b.trees) for x, y in zip(s, t))
+
+
 def test_html_layouts_held_out(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
     model, rng, good, got, want = htmltext.train(pages[::2]), random.Random(99), 0, 0, 0
@@ -555,10 +574,10 @@ def test_near_duplicates_of_template_pages(spark):
 def test_hot_keys_go_apart(spark):
     from docweave.llm import common
 
-    many = spark.range(3000).selectExpr("id as a", "if(id < 2000, 7, id) as b")
-    few = spark.range(3000).selectExpr("id as b", "id * 2 as x")
+    many = spark.range(90000).selectExpr("id as a", "if(id < 2000, 7, id) as b")
+    few = spark.range(90000).selectExpr("id as b", "id * 2 as x")
     hot = common.hot_keys(many, "b")
     assert [tuple(r) for r in hot.collect()] == [(7, 2000)]
-    want = sorted((i, 7 if i < 2000 else i, 14 if i < 2000 else 2 * i) for i in range(3000))
-    for out in (common.join_hot(many, few, ["b"], hot), common.join_spread(many, few, "b", hot, "a"), common.join_spread(many, few, "b", hot.limit(0), "a")):
+    want = sorted((i, 7 if i < 2000 else i, 14 if i < 2000 else 2 * i) for i in range(90000))
+    for out in (common.join_hot(many, few, ["b"], hot), common.join_spread(many, few, "b", hot, "a"), common.join_hot(many, few, ["b"], None), common.join_spread(many, few, "b", None, "a")):
         assert sorted((r["a"], r["b"], r["x"]) for r in out.collect()) == want
