@@ -55,19 +55,22 @@ def parse(text: str):
 
 def tokens(value) -> Iterator[tuple[str, str | None]]:
     """(kind, text) tokens in document order."""
-    if isinstance(value, Obj):
-        yield "start_object", None
-        for k, v in value:
-            yield "key", k
-            yield from tokens(v)
-        yield "end_object", None
-    elif isinstance(value, list):
-        yield "start_array", None
-        for v in value:
-            yield from tokens(v)
-        yield "end_array", None
-    else:
-        yield kind(value), scalar(value)
+    todo: list[tuple[str | None, object]] = [(None, value)]
+    while todo:
+        name, v = todo.pop()
+        if name is not None:
+            yield name, v
+        elif isinstance(v, Obj):
+            yield "start_object", None
+            todo.append(("end_object", None))
+            for k, x in reversed(v):
+                todo += [(None, x), ("key", k)]
+        elif isinstance(v, list):
+            yield "start_array", None
+            todo.append(("end_array", None))
+            todo += [(None, x) for x in reversed(v)]
+        else:
+            yield kind(v), scalar(v)
 
 
 def kind(value) -> str:
@@ -138,13 +141,29 @@ def quote(s: str) -> str:
 
 
 def compact(value) -> str:
-    if isinstance(value, Obj):
-        return "{" + ",".join([f"{quote(k)}:{compact(v)}" for k, v in value]) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join([compact(v) for v in value]) + "]"
-    if value is None:
-        return "null"
-    return quote(value) if type(value) is str else scalar(value)
+    """Text without white space, of a value nested however deep."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Text):
+            out.append(v)
+        elif isinstance(v, Obj):
+            out.append("{")
+            todo.append(_Text("}"))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [v[i][1], _Text(f"{',' if i else ''}{quote(v[i][0])}:")]
+        elif isinstance(v, list):
+            out.append("[")
+            todo.append(_Text("]"))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [v[i], _Text(",")] if i else [v[i]]
+        else:
+            out.append("null" if v is None else quote(v) if type(v) is str else scalar(v))
+    return "".join(out)
+
+
+class _Text(str):
+    """What is written as it is."""
 
 
 def pretty(value, width: int = 100, indent: int = 2) -> str:

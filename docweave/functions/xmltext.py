@@ -272,7 +272,14 @@ class Element:
         return self.name.rpartition(":")[2]
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        out, todo = [], [self]
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(k)
+            else:
+                todo += reversed(k.kids)
+        return "".join(out)
 
 
 def trees(stream: Iterator[tuple]) -> Iterator[Element]:
@@ -296,13 +303,17 @@ def trees(stream: Iterator[tuple]) -> Iterator[Element]:
 
 def tree_events(root: Element) -> Iterator[tuple]:
     """The inverse of trees()."""
-    yield ("start", root.name, [(n, [("text", v)]) for n, v in root.attrs.items()], not root.kids)
-    for k in root.kids:
-        if isinstance(k, str):
+    todo: list[Element | str | tuple] = [root]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, tuple):
+            yield k
+        elif isinstance(k, str):
             yield ("text", k)
         else:
-            yield from tree_events(k)
-    yield ("end", root.name)
+            yield ("start", k.name, [(n, [("text", v)]) for n, v in k.attrs.items()], not k.kids)
+            todo.append(("end", k.name))
+            todo += reversed(k.kids)
 
 
 def _out(e: tuple) -> str:

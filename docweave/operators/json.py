@@ -43,7 +43,7 @@ def match_column(doc: Column, path: tuple[steps.Step, ...], max_matches: int | N
         try:
             for v in J.values(text):
                 out += steps.select(v, path, max_matches, max_nesting)
-        except J.JsonError as e:
+        except (J.JsonError, RecursionError) as e:
             return _matched(out), str(e)  # what came before the failure stays
         return _matched(out), None
 
@@ -95,7 +95,7 @@ def selector_enclosed(doc: Column, text: str) -> Column:
     def run(t):
         try:
             got = steps.DELETE if t is None else steps.enclosed(J.parse(t), path)
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             return None
         return None if got is steps.DELETE else J.compact(got)
 
@@ -109,7 +109,7 @@ def jq_run(df: DataFrame, doc: str, query: str, out: str = "result") -> DataFram
     def run(text):
         try:
             return [] if text is None else [J.compact(r) for v in J.values(text) for r in jq.run(q, v)]
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             return []
 
     return df.withColumn(out, F.explode(_udf(run, "array<string>")(F.col(doc))))
@@ -136,7 +136,7 @@ def tokens(doc: Column) -> Column:
                     depth -= k.startswith("end_")
                     out.append((len(out), k, t, depth))
                     depth += k.startswith("start_")
-        except J.JsonError as e:
+        except (J.JsonError, RecursionError) as e:
             error = str(e)
         return out, error
 
@@ -155,7 +155,7 @@ def shred(df: DataFrame, doc: str) -> DataFrame:
     def run(text):
         try:
             return [] if text is None else nodes(J.parse(text))
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             return []
 
     return df.withColumn("dw_n", F.explode(_udf(run, NODES)(F.col(doc)))).select("*", "dw_n.*").drop("dw_n")
@@ -187,7 +187,7 @@ def split_documents(df: DataFrame, doc: str, out: str = "doc") -> DataFrame:
         try:
             for v in J.values(text or ""):
                 got.append(J.compact(v))
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             pass
         return got
 
@@ -200,7 +200,7 @@ def render(doc: Column, width: int | None = None, indent: int = 2) -> Column:
     def run(text):
         try:
             return None if text is None else "\n".join(J.compact(v) if width is None else J.pretty(v, width, indent) for v in J.values(text))
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             return None
 
     return _udf(run, "string")(doc)
@@ -224,7 +224,7 @@ def _rewritten(parsed: tuple[steps.Step, ...], change: Callable) -> Callable:
     def run(text):
         try:
             return None if text is None else "\n".join(J.compact(steps.transform(v, parsed, change)) for v in J.values(text))
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             return None
 
     return run
@@ -297,7 +297,7 @@ def merge_patch(doc: Column, patch: Column, keep_nulls: bool = False) -> Column:
             return a
         try:
             return J.compact(J.merge_patch(J.parse(a) if a is not None else None, J.parse(b), keep_nulls))
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             return None
 
     return _udf(run, "string")(doc, patch)
@@ -324,7 +324,7 @@ def strip_array(df: DataFrame, doc: str, strict: bool = False, out: str = "doc")
                 if strict and type(v) is not list:
                     return None
                 got += [J.compact(x) for x in (v if type(v) is list else [v])]
-        except J.JsonError:
+        except (J.JsonError, RecursionError):
             if strict:
                 return None
         return got

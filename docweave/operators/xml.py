@@ -42,7 +42,7 @@ def events(doc: Column, comments: bool = True, resolve: bool = False, namespaces
         try:
             for e in _stream(text or "", resolve, entities, namespaces, normalize, comments):
                 out.append(row(len(out), e))
-        except X.XmlError as err:
+        except (X.XmlError, RecursionError) as err:
             return out, str(err)
         return out, None
 
@@ -56,7 +56,7 @@ def well_formed(doc: Column) -> Column:
         try:
             for _ in X.events(text or ""):
                 pass
-        except X.XmlError as e:
+        except (X.XmlError, RecursionError) as e:
             return str(e)
         return None
 
@@ -72,7 +72,7 @@ def xpath_column(doc: Column, path: str, max_matches: int | None = None, max_nes
             for root in X.trees(_stream(text or "", True, entities, False, True)):
                 for trail, e in xpath.select(root, parsed, max_matches, max_nesting):
                     out.append((len(out), trail, e.name, e.attrs, e.text(), X.render(X.tree_events(e))))
-        except X.XmlError as err:
+        except (X.XmlError, RecursionError) as err:
             return out, str(err)
         return out, None
 
@@ -158,7 +158,7 @@ def shred(df: DataFrame, doc: str) -> DataFrame:
         try:
             for root in X.trees(_stream(text or "", True, None, False, True)):
                 walk(root, None, 0)
-        except X.XmlError:
+        except (X.XmlError, RecursionError):
             return []
         return [tuple(r) for r in out]
 
@@ -171,7 +171,7 @@ def render(doc: Column, collapse_empty: bool = True, pretty: bool = False, inden
     def run(text):
         try:
             return None if text is None else X.pretty(X.events(text), indent, width) if pretty else X.render(X.events(text), collapse_empty)
-        except X.XmlError:
+        except (X.XmlError, RecursionError):
             return None
 
     return _udf(run, "string")(doc)
@@ -183,7 +183,7 @@ def split_roots(df: DataFrame, doc: str, out: str = "doc") -> DataFrame:
     def run(text):
         try:
             return [X.render(X.tree_events(t)) for t in X.trees(X.resolve(X.events(text or "")))]
-        except X.XmlError:
+        except (X.XmlError, RecursionError):
             return []
 
     return df.withColumn(out, F.explode(_udf(run, "array<string>")(F.col(doc))))

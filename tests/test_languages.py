@@ -182,3 +182,24 @@ def test_csv_errors_and_literal_quotes():
         with pytest.raises(csv.CsvError):
             list(csv.parse_rows(bad))
     assert list(csv.parse_rows('"a;b"', ";", True)) == [(1, ['"a', 'b"'])]
+
+
+def test_deep_documents():
+    """Nested documents are walked with stacks; what no walker can take is an error of the text."""
+    from docweave.functions import jsontext as J
+    from docweave.functions import xmltext as X
+    from docweave.plans import jsonpath, steps
+
+    deep = J.Obj([("b", J.Num("1"))])
+    for _ in range(3000):
+        deep = J.Obj([("a", [deep])])
+    assert J.compact(deep).count("[") == 3000 and len(list(J.tokens(deep))) == 3000 * 5 + 4
+    assert len(list(steps.below((), deep))) == 3000 * 2 + 2
+    nested = J.Num("1")
+    for _ in range(2000):
+        nested = J.Obj([("a", nested)])
+    assert len(steps.select(nested, jsonpath.parse("$..a"))) == 2000
+    root = next(X.trees(X.events("<a>" * 2000 + "x" + "</a>" * 2000)))
+    assert root.text() == "x" and sum(e[0] == "start" for e in X.tree_events(root)) == 2000
+    for text in ('[{"a":1},{"b":[2,"x",null]}]', '{"a":{},"b":[]}', '"s"', "3"):
+        assert J.compact(J.parse(text)) == text
