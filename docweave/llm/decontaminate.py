@@ -5,8 +5,8 @@ is WINDOW consecutive words of a benchmark item (an item of fewer words is one w
 hashes form a broadcast set, sorted, beside the items' words; documents are scanned once, and every hit is
 verified on the words themselves.
 
-The broadcast is made only where the benchmark has at most BROADCAST_CHARS characters, which take some 6 bytes
-each in a Python worker (100 MB; a test holds it below 300); beyond it, windows are joined as rows, by their
+The broadcast is made only where the benchmark has at most BROADCAST_CHARS characters, which take 4 to 13
+bytes each and 4 MB in a Python worker (a test holds it below 300 MB); beyond it, windows are joined as rows, by their
 hashes, and hits verified likewise. Defined cases: null or wordless texts have no words and no hits; null items
 are none; repeated rows each get their own result.
 """
