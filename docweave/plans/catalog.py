@@ -632,3 +632,6 @@ def xml_events_written(spark, d):
     again = X.events(X.from_events(first))["events"]
     same = F.transform(first, lambda e: F.struct(e["kind"], e["name"], e["value"])) == F.transform(again, lambda e: F.struct(e["kind"], e["name"], e["value"]))
     return _region_xml(spark, d).select("r", same.alias("same"))
+
+
+from docweave.plans import catalog_rules  # noqa: E402, F401  (registers its queries)
