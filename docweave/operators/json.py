@@ -4,7 +4,8 @@ order, duplicate keys, number text, descent, and rendering; always in Arrow batc
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,27 +126,57 @@ def jq_values(df: DataFrame, doc: str, query: str, out: str = "result") -> DataF
     return jq_run(df, doc, query, "dw_r").withColumn(out, F.parse_json("dw_r")).drop("dw_r")
 
 
-def tokens(doc: Column) -> Column:
-    """struct(tokens, error) of a text of any number of documents."""
+#: Tokens that a Python worker holds at once, besides those of one text.
+TOKENS_AT_ONCE = 20_000
 
-    def run(text):
-        out, depth, error = [], 0, None
-        try:
-            for v in J.values(text or ""):
-                for k, t in J.tokens(v):
-                    depth -= k.startswith("end_")
-                    out.append((len(out), k, t, depth))
-                    depth += k.startswith("start_")
-        except (J.JsonError, RecursionError) as e:
-            error = str(e)
-        return out, error
 
-    return _udf(run, TOKENS)(doc)
+def tokens(doc: Column) -> Column:
+    """struct(tokens, error) of a text of any number of documents."""
+    return F.arrow_udf(token_arrays, TOKENS)(doc)
+
+
+def token_arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """TOKENS of texts, as arrays of TOKENS_AT_ONCE tokens and one text's more at most."""
+    for batch in batches:
+        pos, kinds, values, depths, ends, errors = [], [], [], [], [0], []
+        for i in range(len(batch)):
+            depth, error, start = 0, None, len(pos)
+            try:
+                for v in J.values(batch[i].as_py() or ""):
+                    for k, t in J.tokens(v):
+                        depth -= k.startswith("end_")
+                        pos.append(len(pos) - start)
+                        kinds.append(k)
+                        values.append(t)
+                        depths.append(depth)
+                        depth += k.startswith("start_")
+            except (J.JsonError, RecursionError) as e:
+                error = str(e)
+            ends.append(len(pos))
+            errors.append(error)
+            if len(pos) + len(errors) >= TOKENS_AT_ONCE or i == len(batch) - 1:
+                rows = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(depths, pa.int32())], ["pos", "kind", "value", "depth"])
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), pa.array(errors, pa.string())], ["tokens", "error"])
+                pos, kinds, values, depths, ends, errors = [], [], [], [], [0], []
 
 
 def from_tokens(stream: Column) -> Column:
     """JSON texts of the values of an array of tokens."""
-    return _udf(lambda ts: [J.compact(v) for v in J.from_tokens((t[1], t[2]) for t in ts or [])], "array<string>")(stream)
+    return F.arrow_udf(text_arrays, "array<string>")(stream)
+
+
+def text_arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The texts, a few rows at a time, as in token_arrays."""
+    for batch in batches:
+        start = held = 0
+        for i, n in enumerate(batch.value_lengths().to_pylist(), 1):
+            held += 1 + (n or 0)
+            if held >= TOKENS_AT_ONCE or i == len(batch):
+                part = batch.slice(start, i - start)
+                _, kinds, values, *_ = part.flatten().flatten()
+                each = zip(kinds.to_pylist(), values.to_pylist())
+                yield pa.array([[J.compact(v) for v in J.from_tokens(islice(each, m or 0))] for m in part.value_lengths().to_pylist()], pa.list_(pa.string()))
+                start, held = i, 0
 
 
 def shred(df: DataFrame, doc: str) -> DataFrame:

@@ -48,3 +48,8 @@ def test_query(spark, duck, name):
     want = _rows(columns, cur.fetchall())
     assert sorted(columns) == sorted(df.columns)
     assert got == want
+
+
+def test_tokens_roundtrip_goes_through_python_once(spark):
+    plan = catalog.queries()["json_tokens_roundtrip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 2  # tokens, and texts of tokens

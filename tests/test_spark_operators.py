@@ -4,6 +4,7 @@ import dataclasses
 import datetime
 import decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,22 @@ def test_xpath_matches_used(spark):
     assert X.xpath_through(df, "doc", "//g", lambda m: m.where("attrs['i'] = '2'")).count() == 1
     X.xpath_consume(df, "doc", "//g", lambda rows: sum(1 for _ in rows))
     assert _one(spark, X.well_formed(F.lit("<r>\x01</r>"))) == "[2] 1 is no character"
+
+
+def test_tokens_in_bounded_parts(spark):
+    """An Arrow batch of 10,000 texts, one of them large, doesn't become tokens all at once; rows keep their order."""
+    some = ['{"o":1,"lines":[{"n":1,"p":2},{"n":2,"p":null}]}', None, '["x","\\/"] 2', "[1", "", "[" + "3," * 2 * J.TOKENS_AT_ONCE + "4]"]
+    texts = [some[5 if i == 5000 else i % 5] for i in range(10_000)]
+    most, parts = 0, []
+    for part in J.token_arrays(iter([pa.array(texts)])):
+        sizes = [n for n in part.field(0).value_lengths().to_pylist() if n < J.TOKENS_AT_ONCE]
+        most = max(most, sum(sizes))
+        parts.append(part)
+    assert len(parts) > 2 and most < J.TOKENS_AT_ONCE + 20 and sum(map(len, parts)) == len(texts)
+    back = list(J.text_arrays(iter([pa.concat_arrays(parts).field(0)])))
+    assert len(back) > 2 and sum(map(len, back)) == len(texts)
+    want = [[some[0]], [], ['["x","\\/"]', "2"], [], [], [some[5]]]
+    assert [t for b in back for t in b.to_pylist()] == [want[some.index(t)] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).withColumn("x", J.tokens(F.col("t")))
+    got = df.select("i", F.size("x.tokens"), F.col("x.error").isNotNull(), J.from_tokens(F.col("x.tokens"))).where("t is null or t != '[1'").orderBy("i").collect()
+    assert [r[3] for r in got] == [want[some.index(t)] for t in texts if t != "[1"]
