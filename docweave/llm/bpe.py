@@ -26,7 +26,7 @@ from docweave.llm.common import lean, text_rows
 
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
 #: Entries of each of a worker's caches before it is emptied (or becomes the older one), which bounds its memory.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class ForcedBoundaryBPE:
@@ -143,9 +143,6 @@ class ForcedBoundaryBPE:
             self.chunks[chunk] = got
         return got
 
-    def forget(self) -> None:
-        self.fragments, self.chunks, self.older = {}, {}, {}
-
     def encode(self, text: str) -> array:
         """Ids of a text."""
         out: list[bytes] = []
@@ -193,12 +190,22 @@ _LOADED: dict[str, ForcedBoundaryBPE] = {}
 
 
 def load(path: str) -> ForcedBoundaryBPE:
-    """One encoder for each file and Python worker."""
+    """One encoder for each file and process, until it is released."""
     if path not in _LOADED:
         _LOADED[path] = ForcedBoundaryBPE(path)
     return _LOADED[path]
 
 
+def loaded() -> int:
+    """Encoders that this process holds."""
+    return len(_LOADED)
+
+
+def release(path: str) -> None:
+    """Python workers outlive their tasks and go on to other operators: the tables (some 60 MB) go, and what was cached."""
+    _LOADED.pop(path, None)
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded text of every row; no shuffle."""
 
@@ -215,7 +222,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array([bpe.decode(x) for x in got], pa.string())], ["doc_id", "ids", "decoded"])
         finally:
             gc.enable()
-            bpe.forget()
+            release(tokenizer_path)
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, ENCODED)
 

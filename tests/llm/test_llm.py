@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -581,3 +582,16 @@ def test_hot_keys_go_apart(spark):
     want = sorted((i, 7 if i < 2000 else i, 14 if i < 2000 else 2 * i) for i in range(90000))
     for out in (common.join_hot(many, few, ["b"], hot), common.join_spread(many, few, "b", hot, "a"), common.join_hot(many, few, ["b"], None), common.join_spread(many, few, "b", None, "a")):
         assert sorted((r["a"], r["b"], r["x"]) for r in out.collect()) == want
+
+
+def test_bpe_leaves_nothing_in_the_worker(spark):
+    """A worker that encoded goes on to other operators' tasks: the encoder's tables don't stay in it."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.set_column(0, "n", pa.array([bpe.loaded()] * batch.num_rows, pa.int64()))
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text")).repartition(8)
+    for _ in range(2):
+        assert bpe.encode_decode(docs, word_bpe()).count() == 64
+        assert {r[0] for r in spark.range(64).repartition(8).selectExpr("id as n").mapInArrow(run, "n bigint").collect()} == {0}
