@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pyarrow as pa
@@ -84,6 +85,46 @@ def test_bpe_random_text_and_cuts():
         assert list(b.encode(text)) == e.ids and b.decode(e.ids) == t.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_blocks_equal_library(monkeypatch):
+    """Words in several blocks, with caches that run over: what is cut, odd, long or an added token included."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "BLOCK", 40)
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    t, b, rng = Tokenizer.from_file(word_bpe()), bpe.ForcedBoundaryBPE(word_bpe()), random.Random(8)
+    odd = ["\u201cquoted\u201d", "don't!'s", "a" * 41, "ab" * 300, "\u00c9t\u00e9s", "e\u0301", "\x1c", "\u65e5\u672c\u8a9e12", "x<|endoftext|>y", "<|startoftext|>", "'", "12\u00bd", "\x7f", "\u0130"]
+    texts = [None, "", " \n", "<|endoftext|><|endoftext|>"]
+    for _ in range(300):
+        words = ["".join(rng.choice(["the", "ing", "qx", "zj", "er", "\u00e4u", "St", "'ll", ".", "7"]) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join(words + rng.sample(odd, 2)))
+    ids, ends = b.encode_all(texts)
+    decoded = b.decode_all(ids, ends).to_pylist()
+    assert len(decoded) == len(texts) and ends[0] == 0 and ends[-1] == len(ids)
+    for k, text in enumerate(texts):
+        e = t.encode(text or "", add_special_tokens=False)
+        assert ids[ends[k] : ends[k + 1]].tolist() == e.ids and decoded[k] == t.decode(e.ids, skip_special_tokens=False)
+    assert [len(x) for x in b.encode_all([])] == [0, 1]
+
+
+def test_bpe_cost_of_new_words():
+    """Invented words, which no cache knows, cost less CPU than in the library."""
+    from tokenizers import Tokenizer
+
+    t, b, rng = Tokenizer.from_file(word_bpe()), bpe.load(word_bpe()), random.Random(4)
+    syllables = ["en", "ver", "sch", "eau", "th", "ti", "on", "re", "aux", "ung", "ment", "oi", "keit", "le"]
+    ratios = []
+    for _ in range(3):
+        text = " ".join("".join(rng.choices(syllables, k=5)) for _ in range(60_000))
+        at = [time.process_time()]
+        want = t.encode(text, add_special_tokens=False).ids
+        at.append(time.process_time())
+        got = b.encode(text)
+        at.append(time.process_time())
+        assert list(got) == want
+        ratios.append((at[2] - at[1]) / (at[1] - at[0]))
+    assert min(ratios) < 1, ratios
+
+
 def _brute_lines(rows, min_words):
     """Lines to delete, by (id, text): every line in a run with enough words that occurs earlier."""
     order = sorted(set((i, t) for i, t in rows if t is not None), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
